@@ -1,0 +1,37 @@
+"""Connected components of an edge table, without collecting it anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``edges(src long, dst long)`` -> ``(node, root)``: root is the smallest node reachable.
+
+    Every round each node takes the least label among its neighbours and then the label of
+    that label (pointer jumping), so chains shrink geometrically.  All steps are joins and
+    partially aggregated minima; a round's labels are stored in the shared folder.  Null ends
+    and self loops add nothing; an empty table gives an empty result.
+    """
+    edges = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
+    both = stored(edges.union(edges.select(F.col("dst"), F.col("src"))).distinct(), "edges")
+    labels = stored(
+        both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m"))
+        .select("node", F.least("node", "m").alias("root")), "labels")
+    for _ in range(max_rounds):
+        near = (
+            both.join(labels.select(F.col("node").alias("dst"), F.col("root").alias("near")), "dst")
+            .groupBy(F.col("src").alias("node")).agg(F.min("near").alias("near"))
+        )
+        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
+        jump = labels.select(F.col("node").alias("low"), F.col("root").alias("jump"))
+        step = stored(
+            lower.join(jump, "low", "left")
+            .select("node", F.least("low", F.coalesce("jump", "low")).alias("new"), "root"), "labels")
+        labels = step.select("node", F.col("new").alias("root"))
+        if step.where("new <> root").isEmpty():
+            return labels
+    raise RuntimeError(f"labels still change after {max_rounds} rounds")
