@@ -7,8 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import table
+from . import decontaminate, langid, mix, quality, shard, simhash
+from .common import null_safe, table
+from .sql import SQL
+
+SHARDS, SEED = 24, 7
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards; the key alone decides, so a 25th takes rows only into itself."""
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    out = shard.shuffle_into_shards(rows, SHARDS, key="doc_id", content="text_crc32", seed=SEED)
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        shard.shard_of(F.col("doc_id"), SHARDS + 1, SEED).alias("grown_shard"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with what a mix of 150 % of all words, sources weighing 3, 1, 2, takes of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    sources = F.array("source")
+    plan = mix.mix(docs, sources, mix.cycle_weights([3, 1, 2], 1.5, 2.0), repeats=2, seed=17)
+    by_source = spark.createDataFrame(
+        [(s, n, float(plan.targets[s])) for s, n in plan.sizes.items()],
+        "source string, source_size long, target double")
+    timed = plan.times_of(docs, sources).select("doc_id", "source", mix.words(F.col("text")).alias("size"), "__times")
+    return null_safe(timed, F.broadcast(by_source), ["source"], "left").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).cast("long").alias("taken"))
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").select(
+        "doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with expected grade (0 toxic, 1 poor, 2 good), tail probabilities and ``keep``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, ratings(spark, sf_dir), n_grades=3)
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", "expected_grade", F.col("tail")[0].alias("p_not_toxic"), F.col("tail")[1].alias("p_good"),
+        (F.col("tail")[1] >= 0.5).alias("keep"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)))
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that lie in any 10-word window of a benchmark item."""
+    found = decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +77,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+_ALL = (op1_sharding, op3_mixing, op4_quality, op6_language, op7_decontamination, op10_simhash)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_simhash": op10_simhash}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in SQL.items() if k in queries()}
