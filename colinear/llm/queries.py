@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mix, quality, shard, simhash
+from . import decontaminate, langid, lines, mix, quality, shard, simhash, suffixes, toolcalls, topk
 from .common import null_safe, table
 from .sql import SQL
 
@@ -25,6 +25,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         shard.shard_of(F.col("doc_id"), SHARDS + 1, SEED).alias("grown_shard"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that several documents share, as word spans."""
+    return suffixes.repeats(table(spark, sf_dir, "documents"), least_words=50, gram=8)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what a mix of 150 % of all words, sources weighing 3, 1, 2, takes of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -53,6 +58,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("tail")[1] >= 0.5).alias("keep"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best candidates for every hundredth vector, by exact integer inner product."""
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    return topk.search(vectors, vectors.where("id % 100 = 0"), k=10)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
@@ -70,6 +82,31 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+#: Schemas of the two functions that a plain chat calls (fixed values).
+CHAT_SCHEMAS = [
+    ("configure", "text", "string", True), ("configure", "turn", "integer", True),
+    ("answer", "text", "string", True), ("answer", "turn", "integer", True), ("answer", "tools", "array", False),
+]
+
+
+def op8_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as linked calls and results in dependency order, checked and as canonical JSON."""
+    messages = table(spark, sf_dir, "conversations")
+    schemas = spark.createDataFrame(CHAT_SCHEMAS, "name string, field string, type string, required boolean")
+    calls, results = toolcalls.plain_messages(messages)
+    more_calls, more_results = toolcalls.tool_messages(messages)
+    done = toolcalls.format_calls(calls.unionByName(more_calls), results.unionByName(more_results), schemas)
+    return done.select(
+        "conv_id", "call_id", "turn", "result_turn", "name", "status", "repeats", "level", "position",
+        F.array_join("faults", "; ").alias("faults"), "json")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines whose template ten or more documents have."""
+    done = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_docs=10)
+    return done.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their SimHash fingerprint and near-duplicate component."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"), radius=3, words_per_shingle=3, seed=42)
@@ -77,7 +114,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_ALL = (op1_sharding, op3_mixing, op4_quality, op6_language, op7_decontamination, op10_simhash)
+_ALL = (
+    op1_sharding, op2_suffixes, op3_mixing, op4_quality, op5_topk, op6_language, op7_decontamination,
+    op8_toolcalls, op9_lines, op10_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,5 +56,54 @@ items AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
+""",
+    "op2_suffixes": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+t AS (SELECT text, any_value(w) AS w, count(*) AS copies FROM d GROUP BY text HAVING len(any_value(w)) >= 50),
+g AS (
+  SELECT text, i, hash(array_to_string(w[i:i+49], ' ')) AS h
+  FROM t, unnest(range(1, len(w) - 48)) AS u(i)),
+r AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT text) > 1),
+p AS (SELECT DISTINCT text, x FROM g JOIN r USING (h), unnest(range(i - 1, i + 49)) AS u(x)),
+runs AS (SELECT text, x, x - row_number() OVER (PARTITION BY text ORDER BY x) AS run FROM p),
+spans AS (SELECT text, min(x) AS a, max(x) + 1 AS z FROM runs GROUP BY text, run)
+SELECT doc_id, 0 AS start, len(t.w)::INT AS "end", true AS whole FROM d JOIN t USING (text) WHERE copies > 1
+UNION ALL
+SELECT doc_id, a::INT, z::INT, false FROM d JOIN t USING (text) JOIN spans USING (text) WHERE copies = 1
+""",
+    "op5_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op8_toolcalls": r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, conv_id || ':' || turn AS call_id, turn, CASE role WHEN 'system' THEN 'configure' ELSE 'answer' END AS name, role, text
+  FROM conversations WHERE role IN ('system', 'user')),
+r AS (SELECT conv_id, conv_id || ':' || (turn - 1) AS call_id, turn AS result_turn, text AS content FROM conversations WHERE role = 'assistant'),
+l AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, turn, result_turn, name, role, text, content,
+         CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+lev AS (
+  SELECT conv_id, call_id, turn, 0 AS level FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.conv_id = c.conv_id AND b.turn = c.turn - 2)
+  UNION ALL
+  SELECT c.conv_id, c.call_id, c.turn, lev.level + 1 FROM c JOIN lev ON c.conv_id = lev.conv_id AND c.turn = lev.turn + 2)
+SELECT l.conv_id, l.call_id, l.turn, result_turn, name, status, 0::BIGINT AS repeats, level,
+       row_number() OVER (PARTITION BY l.conv_id ORDER BY level NULLS LAST, l.turn NULLS LAST, l.call_id, result_turn, content) - 1 AS position,
+       CASE status WHEN 'orphan' THEN 'no call' ELSE '' END AS faults,
+       json_object('arguments', CASE WHEN status <> 'orphan' THEN json_object('role', role, 'text', text, 'turn', l.turn) END,
+                   'call_id', l.call_id, 'content', content, 'name', name, 'status', status)::VARCHAR AS json
+FROM l LEFT JOIN lev USING (conv_id, call_id)
 """,
 }
