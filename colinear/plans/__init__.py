@@ -1 +1,3 @@
+"""Named queries; importing this package registers all of them."""
 
+from . import queries_intervals  # noqa: F401
