@@ -1,3 +1,5 @@
 """Named queries; importing this package registers all of them."""
 
 from . import queries_intervals  # noqa: F401
+from . import queries_windows  # noqa: F401
+from . import queries_matching  # noqa: F401
