@@ -3,3 +3,5 @@
 from . import queries_intervals  # noqa: F401
 from . import queries_windows  # noqa: F401
 from . import queries_matching  # noqa: F401
+from . import queries_graph  # noqa: F401
+from . import queries_stats  # noqa: F401

@@ -1 +1 @@
-
+"""Streaming surface."""
