@@ -49,9 +49,10 @@ class Alphabet:
 def automaton(codes: np.ndarray, size: int) -> np.ndarray:
     """Suffix automaton of ``codes`` as a parsing table.
 
-    Entry ``state * size + symbol`` is ``2 * size * next + ended``: the row offset of the next
-    state, doubled, plus 1 if a phrase ended.  Where the longest match can't go on the phrase
-    ends and the next one begins with the symbol itself.  Padding ends an open phrase.
+    Entry ``state * size + symbol`` is ``4 * size * next + ended``: the row offset of the next
+    state times 4, plus the phrases that ended (0 to 2).  Where the longest match can't go on the
+    phrase ends and the next one begins with the symbol itself; a symbol the reference doesn't
+    have is a phrase of its own.  Padding ends an open phrase.
     """
     n = len(codes)
     step = np.full((2 * n + 2, size), -1, np.int32)
@@ -85,9 +86,9 @@ def automaton(codes: np.ndarray, size: int) -> np.ndarray:
         for c, t in out.items():
             step[s, c] = t
     step = step[:count]
-    begin = np.where(step[0] < 0, 0, step[0])  # a phrase of one unknown symbol leaves no match open
-    parsed = np.where(step >= 0, 2 * size * step, 2 * size * begin[None, :] + 1).astype(np.int32)
-    parsed[0, step[0] < 0] = 1  # at the start an unknown symbol is a phrase by itself
+    begin = np.where(step[0] < 0, 1, 4 * size * step[0])  # an unknown symbol leaves no match open
+    parsed = np.where(step >= 0, 4 * size * step, begin[None, :] + 1).astype(np.int32)
+    parsed[0, step[0] < 0] = 1
     parsed[1:, PAD], parsed[0, PAD] = 1, 0
     return parsed.reshape(-1)
 
@@ -125,8 +126,8 @@ class CrossParser:
                 if not a:
                     break
                 got = table[state[:a] + steps[i, :a]]
-                ended[:a] += got & 1
-                state[:a] = got >> 1
+                ended[:a] += got & 3
+                state[:a] = got >> 2
             ended += state > 0  # the open phrase
             by_lane = np.zeros(len(fill), np.int64)
             by_lane[order] = ended
