@@ -128,6 +128,8 @@ def file_states(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def fail_on_errors(found: DataFrame) -> DataFrame:
-    """Stops the job if any row is an error; else returns the warnings."""
-    return found.where(
-        F.when(F.col("severity") == "error", F.raise_error(F.concat_ws(": ", "check", "detail")).cast("boolean")).otherwise(True))
+    """Raises if any row is an error, naming the first few; else gives the rows back."""
+    errors = found.where("severity = 'error'").limit(5).collect()
+    if errors:
+        raise ValueError("; ".join(f"{r.check}: {r.detail}" for r in errors))
+    return found
