@@ -215,7 +215,8 @@ def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> Dat
     w = least_words - gram + 1
     own = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
     seeds = stored(own.mapInArrow(_seeds(gram, w), "seed long, text_key long, pos int"), "seeds")
-    again = seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a <> z").select("seed")
+    shared = seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a <> z")
+    again = stored(shared.select("seed"), "shared")  # a table of its own, so that a hot seed's join can be split
     places = stored(
         seeds.join(again, "seed", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("places")), "places")
     chosen = own.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places")
