@@ -1 +1,8 @@
 """Spark-native analytics for interval, anchor and synteny data."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions sent to executors carry their code, so the package need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
