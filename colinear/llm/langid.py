@@ -176,7 +176,8 @@ def train(docs: DataFrame, chars_per_language: int = 40_000, docs_per_language:
 
 def _predict(shipped, batch_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: CrossParser = shipped.value
+        table, size, *rest = shipped.value
+        model = CrossParser(Alphabet(table, size), *rest)
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
             langs, scores, at = [], [], 0
@@ -195,11 +196,11 @@ def _predict(shipped, batch_chars: int):
                 langs += lang
                 scores.append(share)
                 at = upto
-            rest = [i for i, n in enumerate(b.schema.names) if n != "text"]
+            others = [i for i, n in enumerate(b.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in rest), pa.array(langs, pa.string()),
+                [*(b.column(i) for i in others), pa.array(langs, pa.string()),
                  pa.array(np.concatenate(scores) if scores else np.zeros(0))],
-                names=[*(b.schema.names[i] for i in rest), "lang_pred", "score"])
+                names=[*(b.schema.names[i] for i in others), "lang_pred", "score"])
 
     return run
 
@@ -214,5 +215,6 @@ def identify(docs: DataFrame, model: CrossParser, batch_chars: int = 2_000_000)
     """
     kept = docs.drop("lang_pred", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields if f.name != "text")
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = docs.sparkSession.sparkContext.broadcast(
+        (model.alphabet.table, model.alphabet.size, model.languages, model.tables, model.lengths))
     return kept.mapInArrow(_predict(shipped, batch_chars), f"{fields}, lang_pred string, score double")
