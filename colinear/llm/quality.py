@@ -20,16 +20,18 @@ _EDGE = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 
 class Featurizer:
-    """Distinct hashed features of a whole text: its words, and how much of it looks like what."""
+    """Distinct hashed features of a whole text: its words and their stems, and how much of it looks like what."""
 
     def __init__(self, dimensions: int = DIMENSIONS) -> None:
         self.dimensions = dimensions
-        self.cache: dict[bytes, tuple[int, int]] = {}
+        self.cache: dict[bytes, tuple[tuple[int, ...], int]] = {}
+        # a share switches on all levels up to its own, so that weights add up along it
+        self.levels = [[self._index(f"share:{i}:{k}") for k in range(1, 13)] for i in range(8)]
 
     def _index(self, name: str) -> int:
         return zlib.crc32(name.encode("utf-8", "replace")) % self.dimensions
 
-    def _token(self, tok: bytes) -> tuple[int, int]:
+    def _token(self, tok: bytes) -> tuple[tuple[int, ...], int]:
         text = tok.decode("utf-8", "replace")
         core = text.strip(_EDGE)
         tail = len(text) - len(text.rstrip(_EDGE))
@@ -38,7 +40,9 @@ class Featurizer:
             | (not core) << 3 | (len(core) > 18) << 4)
         if len(self.cache) >= _CACHE_TOKENS:
             self.cache.clear()
-        found = self.cache[tok] = (self._index(f"word:{core.lower()}"), int(kind))
+        low = core.lower()
+        names = [f"word:{low}", *(f"stem:{low[:k]}" for k in (5, 7) if len(low) >= k)]
+        found = self.cache[tok] = (tuple(map(self._index, names)), int(kind))
         return found
 
     def __call__(self, text: bytes | None) -> np.ndarray:
@@ -49,13 +53,13 @@ class Featurizer:
         counts, cache, ids, kinds = Counter(row), self.cache, set(), [0] * 32
         for tok, c in counts.items():
             index, kind = cache.get(tok) or self._token(tok)
-            ids.add(index)
+            ids.update(index)
             if kind:
                 kinds[kind] += c
         shares = [sum(c for k, c in enumerate(kinds) if k >> bit & 1) / n for bit in range(5)]
         shares += [sum(map(operator.eq, row, row[1:])) / n, max(counts.values()) / n, len(counts) / n]
-        for i, share in enumerate(shares):
-            ids.add(self._index(f"share:{i}:{round(12 * math.sqrt(share))}"))
+        for level, share in zip(self.levels, shares):
+            ids.update(level[: round(12 * math.sqrt(share))])
         ids.add(self._index(f"length:{n.bit_length()}"))
         return np.fromiter(ids, np.int64, len(ids))
 
@@ -74,9 +78,9 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -500, 500)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least_docs: int = 3, rounds: int = 250,
-        rate: float = 0.1, ridge: float = 2e-4, dimensions: int = DIMENSIONS) -> OrdinalModel:
-    """Maximum likelihood of the cumulative logits with an L2 penalty, by Adam.
+def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least_docs: int = 8, rounds: int = 150,
+        rate: float = 0.1, ridge: float = 1e-3, dimensions: int = DIMENSIONS) -> OrdinalModel:
+    """Maximum likelihood of the cumulative logits with an L2 penalty, by Adam with falling steps.
 
     Features in fewer than ``least_docs`` rows get no weight.  Without rows every score is
     above every threshold: nothing is known against any text.
@@ -112,7 +116,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, least_docs: i
         g[m] = back[0]
         g[m + 1 :] = back[1:] * np.exp(p[m + 1 :])
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
-        p -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
+        p -= rate * (1 - (t - 1) / rounds) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.999**t)) + 1e-8)
     return OrdinalModel(seen[keep], p[:m].copy(), bounds(p), dimensions)
 
 
@@ -122,13 +126,13 @@ def _rows(dimensions: int):
         for b in batches:
             texts = b.column(1).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([features(x.as_py()).tolist() for x in texts], pa.list_(pa.int64()))],
+                [b.column(0), pa.array([features(x.as_py()).astype(np.int32) for x in texts], pa.list_(pa.int32()))],
                 names=["grade", "ids"])
 
     return run
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_train: int = 6_000, seed: int = 3,
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_train: int = 8_000, seed: int = 3,
           **how) -> OrdinalModel:
     """Fits on at most ``max_train`` rated documents, chosen by a seeded hash of doc_id.
 
@@ -140,11 +144,15 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_train: int = 6
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "grade").limit(max_train)
     )
     rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
-    got = rated.select("grade", "text").mapInArrow(_rows(DIMENSIONS), "grade int, ids array<bigint>").toArrow()
-    order = np.lexsort([[len(x) for x in got["ids"].to_pylist()], got["grade"].to_numpy()])
-    ids = got["ids"].to_pylist()
-    return fit([np.array(sorted(ids[i]), np.int64) for i in order],
-               got["grade"].to_numpy()[order].astype(np.int64), n_grades, **how)
+    got = rated.select("grade", "text").mapInArrow(_rows(DIMENSIONS), "grade int, ids array<int>").toArrow().combine_chunks()
+    grades = got["grade"].to_numpy().astype(np.int64)
+    if not len(grades):
+        return fit([], grades, n_grades, **how)
+    lists = got["ids"].combine_chunks()
+    ends = np.cumsum(np.asarray(pa.compute.list_value_length(lists)))
+    rows = np.split(lists.flatten().to_numpy().astype(np.int64), ends[:-1])
+    order = np.lexsort([[int(r.sum()) for r in rows], [len(r) for r in rows], grades])  # reruns agree
+    return fit([np.sort(rows[i]) for i in order], grades[order], n_grades, **how)
 
 
 def _scores(ids: np.ndarray, weights: np.ndarray, thresholds: np.ndarray, dimensions: int):
