@@ -92,24 +92,45 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
 def levels(linked: DataFrame) -> DataFrame:
     """``(conv_id, call_id, level int)``: 0 without a known earlier call, else 1 + the highest before.
 
-    Kahn's rounds: a call gets its level once all calls it comes after have theirs, so there are
-    as many rounds as the longest chain has calls.  Calls on a cycle, or after one, have no row.
+    Calls after exactly one other form chains, which pointer doubling follows to their start in
+    as many rounds as the logarithm of their length.  Only calls after several others are then
+    settled in Kahn's rounds, on the contracted graph.  Calls on a cycle, or after one, have no row.
     """
     key = ["conv_id", "call_id"]
     nodes = stored(linked.where("conv_id is not null and call_id is not null and status <> 'orphan'").select(*key), "calls")
     edges = stored(
         linked.select(*key, F.explode("after").alias("before")).where("before is not null").distinct()
-        .join(nodes.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"]), "after")
-    front = stored(nodes.join(edges, key, "left_anti").withColumn("level", F.lit(0)), "level")
-    done, open_edges, level = front, edges, 0
-    while not front.isEmpty():
-        level += 1
-        settled = front.select("conv_id", F.col("call_id").alias("before"))
-        rest = stored(open_edges.join(settled, ["conv_id", "before"], "left_anti"), "after")
-        touched = open_edges.join(settled, ["conv_id", "before"], "left_semi").select(*key).distinct()
-        front = stored(touched.join(rest, key, "left_anti").withColumn("level", F.lit(level)), "level")
-        done, open_edges = done.union(front), rest
-    return done
+        .join(nodes, key, "left_semi")
+        .join(nodes.select("conv_id", F.col("call_id").alias("before")), ["conv_id", "before"], "left_semi"), "after")
+    degree = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("before").alias("before"))
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    jump = stored(
+        nodes.join(degree, key, "left").select(
+            *key, F.when(one, F.col("before")).otherwise(F.col("call_id")).alias("root"),
+            F.when(one, 1).otherwise(0).cast("long").alias("dist"), F.coalesce("n", F.lit(0)).alias("n")), "jump")
+    ends = jump.where("n <> 1").select("conv_id", F.col("call_id").alias("root"), "n")
+    most, rounds, moved = nodes.count(), 0, True
+    while moved and 2**rounds <= most:  # a chain is no longer than that; what still moves is on a cycle
+        to = jump.select("conv_id", F.col("call_id").alias("root"), F.col("root").alias("next"), F.col("dist").alias("more"))
+        step = stored(jump.join(to, ["conv_id", "root"]).select(
+            *key, F.col("next").alias("root"), (F.col("dist") + F.col("more")).alias("dist"), "n", (F.col("next") != F.col("root")).alias("moved")), "jump")
+        jump, rounds, moved = step.drop("moved"), rounds + 1, not step.where("moved").isEmpty()
+    reach = stored(jump.drop("n").join(ends, ["conv_id", "root"]), "reach")
+    settled = stored(ends.where("n = 0").select("conv_id", "root", F.lit(0).cast("long").alias("level")), "level")
+    before = reach.select("conv_id", F.col("call_id").alias("before"), F.col("root").alias("b_root"), "dist")
+    several = stored(
+        edges.join(ends.where("n > 1").select("conv_id", F.col("root").alias("call_id")), key, "left_semi")
+        .join(before, ["conv_id", "before"], "left"), "several")
+    while not several.isEmpty():
+        known = several.join(settled.withColumnRenamed("root", "b_root"), ["conv_id", "b_root"], "left")
+        ready = stored(
+            known.groupBy(*key).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("all"))
+            .where("all").select("conv_id", F.col("call_id").alias("root"), "level"), "level")
+        if ready.isEmpty():
+            break
+        several = stored(several.join(ready.withColumnRenamed("root", "call_id"), key, "left_anti"), "several")
+        settled = stored(settled.unionByName(ready), "level")
+    return reach.join(settled, ["conv_id", "root"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
 def _faults(fields: Column, arguments: Column) -> Column:

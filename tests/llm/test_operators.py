@@ -307,6 +307,14 @@ def test_calls_link_in_order_and_validate(spark):
     assert [out[k].position for k in "abz"] == [0, 1, 2]
 
 
+def test_levels_of_chains_and_joins(spark):
+    after = {0: [], 1: [0], 2: [1], 3: [], 4: [2, 3], 5: [4], 6: [5, 0], 7: [7], 8: [7], 9: [10], 10: [11], 11: [9], 12: [9, 0], 13: [99]}
+    after |= {i: [i - 1] for i in range(101, 170)} | {100: []}
+    df = spark.createDataFrame([(1, str(i), [str(a) for a in x], "linked") for i, x in after.items()], "conv_id long, call_id string, after array<string>, status string")
+    got = {int(r.call_id): r.level for r in toolcalls.levels(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 3, 5: 4, 6: 5, 13: 0} | {i: i - 100 for i in range(100, 170)}
+
+
 def test_repeated_and_empty_messages(spark):
     m = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "x"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
     schema = spark.createDataFrame([], "name string, field string, type string, required boolean")
