@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stored
+
+__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "null_safe", "shared_dir", "small", "stored", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -17,34 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor sees, from ``spark.checkpoint.dir``.
-
-    Where the session names none, a local master gets a temporary folder and a cluster a
-    folder in its warehouse, which is shared as well.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        own = tempfile.mkdtemp(prefix="colinear-")
-    else:
-        own = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back.
-
-    Cuts the lineage, is computed once however often it is used, and outlives any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; pure ASCII texts take the fast built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(
