@@ -122,19 +122,23 @@ def cluster_by_previous(df: DataFrame, keys: Sequence[str], start: str = "start"
     return df.withColumn("__new", new).withColumn(name, F.sum("__new").over(run)).drop("__new")
 
 
-def step_max(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", score: str = "score") -> DataFrame:
+def step_max(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", score: str = "score",
+             width: int = 1 << 14) -> DataFrame:
     """Disjoint segments ``lo, hi, score`` with the highest score of the intervals that cover them.
 
     Intervals are grouped into touching islands; between consecutive end points of an island the
-    maximum is constant, and neighbours of equal score unite.  Intervals of no length are skipped.
+    maximum is constant, and neighbours of equal score unite.  Segments meet the intervals that
+    cover them in bins of ``width``, so a long island isn't a product of its rows.  Intervals of
+    no length are skipped.
     """
     own = island_ids(df.where(F.col(start) < F.col(end)), keys, start, end)
     group = [*keys, "island"]
     points = own.select(*group, F.explode(F.array(start, end)).alias("lo")).distinct()
     cuts = points.withColumn("hi", F.lead("lo").over(Window.partitionBy(*group).orderBy("lo"))).where("hi is not null")
+    covers = own.select(*group, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(score).alias("__v"))
     top = (
-        cuts.join(own.select(*group, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(score).alias("__v")), group)
-        .where("__s <= lo and hi <= __e").groupBy(*group, "lo", "hi").agg(F.max("__v").alias("score"))
+        interval_join(cuts, covers, group, ("lo", "hi"), ("__s", "__e"), width, closed=False)
+        .groupBy(*group, "lo", "hi").agg(F.max("__v").alias("score"))
     )
     order = Window.partitionBy(*group).orderBy("lo")
     new = F.when((F.lag("score").over(order) == F.col("score")) & (F.lag("hi").over(order) == F.col("lo")), 0).otherwise(1)
