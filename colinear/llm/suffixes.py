@@ -219,7 +219,8 @@ def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> Dat
     again = stored(shared.select("seed"), "shared")  # a table of its own, so that a hot seed's join can be split
     places = stored(
         seeds.join(again, "seed", "left_semi").groupBy("text_key").agg(F.collect_set("pos").alias("places")), "places")
-    chosen = own.join(places, "text_key").dropDuplicates(["text_key"]).select("text_key", "text", "places")
+    # copies are dropped where they are read, so that a hot text sends one row a task, not all
+    chosen = own.dropDuplicates(["text_key"]).join(places, "text_key").select("text_key", "text", "places")
     contexts = stored(chosen.mapInArrow(
         _contexts(gram, least_words),
         "seed long, text_key long, pos int, right binary, left binary"), "contexts")
