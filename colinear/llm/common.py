@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, stored
 
-__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "null_safe", "shared_dir", "small", "stored", "table"]
+__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "null_safe", "partitions", "shared_dir", "small", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
@@ -25,9 +25,18 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def small(df: DataFrame, rows: int, limit: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` stay within ``limit``."""
-    return F.broadcast(df) if rows <= limit else df
+#: Bytes of a side up to which it is broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int, row_bytes: int, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` of ``row_bytes`` each stay within ``limit`` bytes."""
+    return F.broadcast(df) if rows * (row_bytes + 16) <= (BROADCAST_BYTES if limit is None else limit) else df
+
+
+def partitions(spark: SparkSession) -> int:
+    """Number of shuffle partitions."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

@@ -1,9 +1,9 @@
-"""SimHash near-dedup through vantage points in Hamming space."""
+"""SimHash near-dedup through vantage-point trees in Hamming space."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations, repeat
+from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -11,46 +11,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
-from .components import components
+from ..operators.graph import components
+from .common import SPACE_WORD, ascii_lower, partitions, small, stored
 
 BITS = 64
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """The 64-bit word whose bit i is set if it is set in over half of ``hashes``."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
+        part = hashes[at : at + (1 << 16)]
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
+            axis=0, dtype=np.int32)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0]
+
+
+def shingles(words: list[bytes], n: int) -> Iterator[bytes]:
+    """Runs of ``n`` words, space-joined; fewer words than that make one, no words none."""
+    if len(words) < n:
+        return iter([b" ".join(words)] if words else [])
+    return map(b" ".join, zip(*(words[i:] for i in range(n))))
+
+
 def fingerprint(text: bytes | None, words_per_shingle: int = 3, seed: int = 42) -> int:
-    """64-bit SimHash: bit i is set if it is set in over half the shingle hashes.
+    """64-bit SimHash: bit i is set if it is set in over half the shingle hashes, repeats included.
 
     Words are split at ASCII white space after lower-casing A-Z.  Fewer words than a shingle
     has make one shingle; no words (or null) give 0.
     """
     import xxhash
 
+    words = text.lower().split() if text else []
+    return int(majority(np.fromiter(
+        map(xxhash.xxh64_intdigest, shingles(words, words_per_shingle), repeat(seed)), np.uint64)))
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes as another hash function would give them."""
+    with np.errstate(over="ignore"):
+        x = h + np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def word_fingerprints(text: bytes | None, n: int, words_per_shingle: int) -> np.ndarray:
+    """``n`` SimHashes of the distinct words under as many hash functions, then two of the distinct shingles."""
+    import xxhash
+
     words = text.lower().split() if text else []
     if not words:
-        return 0
-    if len(words) < words_per_shingle:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(words_per_shingle))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = hashes[at : at + (1 << 16)]
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+        return np.zeros(n + 2, np.uint64)
+    single = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
+    several = np.fromiter(map(xxhash.xxh64_intdigest, set(shingles(words, words_per_shingle))), np.uint64)
+    return np.array([majority(_mixed(single, i)) for i in range(n)] + [majority(_mixed(several, i)) for i in range(2)], np.uint64)
 
 
-def _fingerprints(words_per_shingle: int, seed: int):
+def _map_texts(fields: Sequence[str], make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).cast(pa.binary())
-            fps = np.fromiter(
-                (fingerprint(x.as_py(), words_per_shingle, seed) for x in texts), np.uint64, len(texts))
+            made = np.zeros((len(texts), len(fields)), np.uint64)
+            for i, x in enumerate(texts):
+                made[i] = make(x.as_py())
             rest = [i for i, n in enumerate(b.schema.names) if n != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in rest), pa.array(fps.view(np.int64))],
-                names=[*(b.schema.names[i] for i in rest), "fp"])
+                [*(b.column(i) for i in rest), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in made.T)],
+                names=[*(b.schema.names[i] for i in rest), *fields])
 
     return run
 
@@ -60,190 +88,257 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, seed: int = 42) ->
     kept = [f for f in docs.schema.fields if f.name not in ("text", "fp")]
     schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
     return docs.select(*[f.name for f in kept], "text").mapInArrow(
-        _fingerprints(words_per_shingle, seed), schema)
+        _map_texts(["fp"], lambda text: fingerprint(text, words_per_shingle, seed)), schema)
 
 
 # -- one shard of fingerprints ------------------------------------------------------------
 
 
-def _near(a: np.ndarray, b, radius: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= radius
-
+def vantage_hits(index: np.ndarray, queries: np.ndarray, radius: int,
+                 leaf: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places ``(in queries, in index)`` of all pairs within ``radius``, through a vantage-point tree.
 
-def _walk(s: np.ndarray, radius: int, join) -> None:
-    """Links the fingerprints of ``s``: each found one leaves the set of those still sought."""
-    rest = np.ones(len(s), bool)
-    for start in range(len(s)):
-        if not rest[start]:
-            continue
-        rest[start] = False
-        front = [start]
-        while front:
-            at = front.pop()
-            left = np.flatnonzero(rest)
-            if not len(left):
-                return
-            hit = left[_near(s[left], s[at], radius)]
-            rest[hit] = False
-            for x in hit.tolist():
-                join(int(s[at]), int(s[x]))
-            front.extend(hit.tolist())
-
-
-def vantage_links(s: np.ndarray, radius: int, join, leaf: int = 128) -> None:
-    """Vantage-point recursion over distinct fingerprints ``s``.
-
-    The set is halved at the median distance mu from a vantage point.  By the triangle
-    inequality a pair within ``radius`` lies either wholly beyond mu or wholly within
-    mu + radius, so the inner half keeps that boundary zone and no pair is missed.
+    A node halves its part of ``index`` at the median distance mu from a vantage point.  By the
+    triangle inequality a query at distance d finds nothing in the inner half if d > mu + radius
+    and nothing in the outer one if d <= mu - radius, so those branches are pruned.
     """
-    stack = [(s, 0)]
+    stack = [(np.arange(len(index)), np.arange(len(queries)), 0)]
     while stack:
-        s, depth = stack.pop()
-        if len(s) <= leaf or depth > 40:
-            _walk(s, radius, join)
+        own, asked, depth = stack.pop()
+        if not len(own) or not len(asked):
             continue
-        point = s[(len(s) * 7919 + depth * 104729) % len(s)]
-        d = np.bitwise_count(s ^ point)
-        mu = int(np.partition(d, len(d) // 2)[len(d) // 2])
-        inner, outer = s[d <= mu + radius], s[d > mu]
-        if max(len(inner), len(outer)) > 0.9 * len(s):
-            _walk(s, radius, join)
-            continue
-        stack += [(inner, depth + 1), (outer, depth + 1)]
-
-
-class _Sets:
-    """Union-find over the fingerprints that a task has linked."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up.setdefault(y, y)
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def _shard_links(radius: int, few: int = 48):
-    """Sorted ``(shard, fp)`` rows -> star edges ``(src, dst)`` of what is linked in each shard."""
+        if len(own) > leaf:
+            point = index[own[(len(own) * 7919 + depth * 104729) % len(own)]]
+            d = np.bitwise_count(index[own] ^ point)
+            mu = int(np.partition(d, len(d) // 2)[len(d) // 2])
+            mu -= mu == d.max()  # the outer half isn't empty, unless all are equally far
+            inner = d <= mu
+            if inner.any():
+                dq = np.bitwise_count(queries[asked] ^ point).astype(np.int16)
+                stack += [(own[inner], asked[dq <= mu + radius], depth + 1),
+                          (own[~inner], asked[dq > mu - radius], depth + 1)]
+                continue
+        step = max(1, (1 << 17) // len(own))
+        for at in range(0, len(asked), step):
+            q = asked[at : at + step]
+            a, b = np.nonzero(np.bitwise_count(queries[q][:, None] ^ index[own][None, :]) <= radius)
+            if len(a):
+                yield q[a], own[b]
+
+
+def unite(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the sets of ``a`` and ``b`` pairwise; ``labels`` holds each place's root, the least of its set."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+        while (more := labels[labels] != labels).any():
+            labels[more] = labels[labels[more]]
+
+
+def _stars(radius: int):
+    """Links of a tile as stars: each fingerprint that is linked with the least of its set."""
+
+    def tile(role: np.ndarray, ids: np.ndarray, fps: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        names, place = np.unique(ids, return_inverse=True)
+        i, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        labels = np.arange(len(names))
+        for a, b in vantage_hits(fps[i], fps[q], radius):
+            unite(labels, place[q[a]], place[i[b]])
+        linked = np.flatnonzero(labels != np.arange(len(names)))
+        return names[linked], names[labels[linked]]
+
+    return tile
+
+
+def _nearest(radius: int, check_radius: int):
+    """Links of a tile: each query with the most similar of the smaller ids and of the larger ones.
+
+    Similar is told by the two check words, within ``check_radius`` bits of their 128.
+    """
 
-    def links(keys: np.ndarray, fps: np.ndarray, sets: _Sets) -> None:
-        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        sizes = np.diff(np.r_[starts, len(keys)])
-        for at, n in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist()):
-            vantage_links(np.unique(fps[at : at + n]), radius, sets.join)
-        ok = np.repeat(sizes <= few, sizes)
-        keys, fps = keys[ok], fps[ok]
-        for lag in range(1, int(sizes[sizes <= few].max(initial=1))):
-            same = (keys[lag:] == keys[:-lag]) & _near(fps[lag:], fps[:-lag], radius)
-            for x, y in zip(fps[lag:][same].tolist(), fps[:-lag][same].tolist()):
-                sets.join(x, y)
+    def tile(role: np.ndarray, ids: np.ndarray, fps: np.ndarray, rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        i, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        far = check_radius + 1
+        best = np.full((2, len(ids)), far, np.int32)
+        whom = np.zeros((2, len(ids)), np.int64)
+        for a, b in vantage_hits(fps[i], fps[q], radius):
+            a, b = q[a], i[b]
+            d = sum(np.bitwise_count(r[a] ^ r[b]).astype(np.int32) for r in rest)
+            ok = (d < far) & (ids[a] != ids[b])
+            a, b, d = a[ok], b[ok], d[ok]
+            for side, there in ((0, ids[b] < ids[a]), (1, ids[b] > ids[a])):
+                x, y, z = a[there], b[there], d[there]
+                order = np.lexsort([ids[y], z, x])
+                x, y, z = x[order], y[order], z[order]
+                first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+                x, y, z = x[first], y[first], z[first]
+                better = (z < best[side][x]) | ((z == best[side][x]) & (ids[y] < whom[side][x]))
+                x, y, z = x[better], y[better], z[better]
+                best[side][x], whom[side][x] = z, ids[y]
+        found = [np.flatnonzero(best[side] < far) for side in (0, 1)]
+        return np.concatenate([ids[f] for f in found]), np.concatenate([whom[s][f] for s, f in enumerate(found)])
+
+    return tile
+
+
+def _by_group(keys: Sequence[str], each):
+    """Sorted rows -> what ``each`` gives for the rows of one value of ``keys`` after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, held = _Sets(), []
-
-        def flush(last: bool) -> None:
-            keys = np.concatenate([k for k, _ in held]) if held else np.zeros(0, np.int64)
-            fps = np.concatenate([f for _, f in held]) if held else np.zeros(0, np.uint64)
-            held.clear()
-            if len(keys) and not last:  # the last shard may go on in the next batch
-                cut = int(np.searchsorted(keys, keys[-1]))
-                held.append((keys[cut:], fps[cut:]))
-                keys, fps = keys[:cut], fps[:cut]
-            if len(keys):
-                links(keys, fps, sets)
-
+        held: list[pa.RecordBatch] = []
+        last = None
         for b in batches:
-            held.append((b.column(0).to_numpy(zero_copy_only=False),
-                         b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            flush(False)
-        flush(True)
-        up = list(sets.up)
-        src = np.array(up, np.uint64).view(np.int64)
-        dst = np.array([sets.root(x) for x in up], np.uint64).view(np.int64)
-        ne = src != dst
-        yield pa.RecordBatch.from_arrays([pa.array(src[ne]), pa.array(dst[ne])], names=["src", "dst"])
+            if not b.num_rows:
+                continue
+            columns = [b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+            new = np.zeros(b.num_rows, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), b.num_rows]
+            for a, z in zip(cuts, cuts[1:]):
+                now = tuple(c[a] for c in columns)
+                if held and now != last:
+                    yield from each(held)
+                    held = []
+                last = now
+                held.append(b.slice(a, z - a))
+        if held:
+            yield from each(held)
 
     return run
 
 
-# -- the forest over all fingerprints -----------------------------------------------------
+def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    at = parts[0].schema.get_field_index(name)
+    return np.concatenate([p.column(at).to_numpy(zero_copy_only=False) for p in parts])
 
 
-def _parts(blocks: int) -> list[tuple[int, int]]:
-    """(shift, width) of the ``blocks`` runs of bits."""
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+def _tile_links(tile, rest: Sequence[str]):
+    def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [_column(parts, c).view(np.uint64) for c in ("fp", *rest)]
+        src, dst = tile(_column(parts, "role"), _column(parts, "id"), words[0], words[1:])
+        if len(src):
+            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], names=["src", "dst"])
 
+    return _by_group(["shard", "tile"], each)
 
-def _trees(blocks: int, radius: int) -> list[int]:
-    """Masks of which any pair within ``radius`` agrees on at least one."""
-    parts = _parts(blocks)
-    return [sum(((1 << w) - 1) << s for s, w in chosen) for chosen in combinations(parts, blocks - radius)]
 
+# -- shards around vantage points ---------------------------------------------------------
 
-def _signed(x: int) -> int:
-    return x - (1 << BITS) if x >= 1 << (BITS - 1) else x
 
+def _assign(radius: int, rest: Sequence[str]):
+    """Points (home -1) and rows of a shard -> rows by the cell they live in or must visit."""
+
+    def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, ids = _column(parts, "home"), _column(parts, "id")
+        fps = _column(parts, "fp").view(np.uint64)
+        points = np.sort(fps[home < 0])
+        shard = _column(parts, "shard")[0]
+        more = [_column(parts, c) for c in rest]
+        rows = np.flatnonzero(home >= 0)
+        step = max(1, (1 << 22) // max(1, len(points)))
+        for at in range(0, len(rows), step):
+            r = rows[at : at + step]
+            if not len(points):
+                i, cell, lives = r, np.zeros(len(r), np.uint64), home[r]
+            else:
+                d = np.bitwise_count(fps[r][:, None] ^ points[None, :]).astype(np.int16)
+                own = d.argmin(axis=1)
+                reach = d[np.arange(len(r)), own] + np.where(home[r] > 0, radius, 2 * radius)
+                a, b = np.nonzero(d <= reach[:, None])
+                i, cell = r[a], points[b]
+                lives = ((home[i] > 0) & (b == own[a])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), shard)), pa.array(cell.view(np.int64)), pa.array(lives.astype(np.int32)),
+                 pa.array(ids[i]), pa.array(fps[i].view(np.int64)), *(pa.array(m[i]) for m in more)],
+                names=["shard", "cell", "home", "id", "fp", *rest])
+
+    return _by_group(["shard", "salt"], each)
 
-def shards(fps: DataFrame, radius: int = 3, shard_rows: int = 50_000, blocks: int | None = None,
-           max_splits: int = 6) -> DataFrame:
-    """Distinct ``fps(fp)`` -> ``(shard long, fp)``; each pair within ``radius`` shares a shard.
 
-    A forest of vantage-point trees.  Tree t measures distance on a subset of the bits; the
-    pigeonhole principle gives every pair a tree in which it is at distance 0, so query balls
-    there have radius 0 and cross no boundary: a shard is the set of equal distances to all
-    unit vantage points, that is, equal bits.  A shard above ``shard_rows`` is cut again by the
-    full distance to a vantage point of its own into shells ``radius + 1`` wide; a fingerprint
-    within ``radius`` of the next shell visits that one as well (triangle bound).
+def shards(rows: DataFrame, radius: int = 3, shard_rows: int = 2_048, max_points: int = 4_096,
+           again: int = 16, max_levels: int = 6) -> DataFrame:
+    """``rows(id long, fp long, ...)`` -> ``(shard, home, id, fp, ...)``: where each lives and visits.
+
+    A tree of vantage points.  A shard that is too large draws a seeded sample of its own
+    fingerprints as vantage points, about one for ``shard_rows`` and at most ``max_points``; each row
+    lives (home 1) in the cell of the nearest one.  Of two rows within ``radius`` in different cells the
+    one farther from its own point is, by the triangle bound, at most ``radius`` farther from the other's
+    point than from its own: it visits (home 0) all such cells.  A visitor of a shard that is cut again
+    visits the cells at most twice ``radius`` farther than the nearest.  So each pair within
+    ``radius`` meets in a shard in which at least one of the two lives.  The first cut is made above
+    ``2 * shard_rows`` rows, later ones above ``again * shard_rows``.
     """
-    if blocks is None:
-        n, blocks = fps.count(), radius + 1
-        while n > 256 * 2 ** (BITS * (blocks - radius) // blocks) and blocks < 2 * radius + 4:
-            blocks += 1
-    trees = [
-        F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(mask))))
-        for i, mask in enumerate(_trees(blocks, radius))
-    ]
-    rows = fps.select("fp", F.explode(F.array(*trees)).alias("shard")).select("shard", "fp")
-    width = radius + 1
-    for level in range(max_splits):
-        big = (
-            rows.groupBy("shard")
-            .agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", F.lit(level)), "fp")).alias("v"))
-            .where(F.col("n") > shard_rows).select("shard", F.col("v.fp").alias("vantage"))
-        )
-        big = stored(big, "vantage")
-        if big.isEmpty():
+    spark, rest = rows.sparkSession, [c for c in rows.columns if c not in ("id", "fp")]
+    columns = ["shard", "home", "id", "fp", *rest]
+    now = rows.select(F.lit(0).cast("long").alias("shard"), F.lit(1).alias("home"), "id", "fp", *rest)
+    for level in range(max_levels):
+        wanted = F.least(F.ceil(F.col("n") / shard_rows), F.lit(max_points))
+        sizes = stored(
+            now.groupBy("shard").agg(F.sum("home").alias("n"), F.count("*").alias("total"))
+            .where(F.col("n") > (2 if level == 0 else again) * shard_rows)
+            .select("shard", F.col("n").cast("long").alias("n"), wanted.cast("long").alias("points"),
+                    F.ceil(F.col("total") / F.greatest(F.lit(8192), 16 * wanted)).cast("int").alias("salts")), "sizes")
+        n_large = sizes.count()
+        if not n_large:
             break
-        d = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))
-        shell = F.floor(d / width).cast("int")
-        homes = F.when(F.col("vantage").isNull(), F.array(F.lit(-1))).otherwise(
-            F.when(d + radius >= (shell + 1) * width, F.array(shell, shell + 1)).otherwise(F.array(shell)))
-        rows = stored(
-            rows.join(big, "shard", "left").select("fp", "shard", F.explode(homes).alias("home"))
-            .select(F.when(F.col("home") < 0, F.col("shard"))
-                    .otherwise(F.xxhash64("shard", F.lit(level), "home")).alias("shard"), "fp"), "shells")
-    return rows
-
-
-def links(fps: DataFrame, radius: int = 3, **how) -> DataFrame:
+        marked = now.join(small(sizes, n_large, 28), "shard", "left")
+        large = marked.where("n is not null")
+        chance = F.pmod(F.xxhash64("fp", F.lit(level)), F.lit(1 << 30)) * F.col("n") < (1 << 30) * F.col("points")
+        points = (
+            large.where((F.col("home") == 1) & chance).groupBy("shard", "fp").agg(F.first("salts").alias("salts"))
+            .select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).alias("home"),
+                    F.lit(0).cast("long").alias("id"), "fp", *[F.lit(0).cast("long").alias(c) for c in rest])
+        )
+        dealt = large.select(
+            "shard", F.pmod(F.xxhash64("id", "fp"), F.col("salts")).cast("int").alias("salt"), "home", "id", "fp", *rest)
+        cells = (
+            dealt.union(points).repartition(partitions(spark), "shard", "salt").sortWithinPartitions("shard", "salt")
+            .mapInArrow(_assign(radius, rest), "shard long, cell long, home int, id long, fp long" + "".join(f", `{c}` long" for c in rest))
+            .withColumn("shard", F.xxhash64("shard", F.lit(level), "cell")).select(*columns)
+        )
+        now = stored(marked.where("n is null").select(*columns).union(cells), "cells")
+    return now
+
+
+def _dealt(rows: DataFrame, radius: int, shard_rows: int, tile_queries: int, **how) -> DataFrame:
+    """Rows of all shards in tiles of bounded size, each with what is asked (role 2) and what is searched (1)."""
+    spark = rows.sparkSession
+    placed = shards(rows, radius, shard_rows, **how)
+    sizes = stored(
+        placed.groupBy("shard").agg(F.sum("home").alias("n"), F.count("*").alias("total")).where("n > 0 and total > 1")
+        .select("shard", F.ceil(F.col("n") / (2 * shard_rows)).cast("int").alias("across"),
+                F.ceil(F.col("total") / tile_queries).cast("int").alias("down")), "tiles")
+    met = placed.join(small(sizes, sizes.count(), 16), "shard")
+    at = lambda tile, role: F.struct(tile.cast("int").alias("tile"), F.lit(role).cast("int").alias("role"))
+    place = lambda salt, n: F.pmod(F.xxhash64("id", "fp", F.lit(salt)), F.col(n))
+    none = F.array().cast("array<struct<tile:int,role:int>>")
+    searched = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda j: at(place(1, "across") * F.col("down") + j, 1))
+    asked = F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda i: at(i * F.col("down") + place(2, "down"), 2))
+    one = F.array(F.struct(F.lit(0).alias("tile"), (F.col("home") + 2).cast("int").alias("role")))
+    copies = F.when((F.col("across") == 1) & (F.col("down") == 1), one).otherwise(
+        F.concat(F.when(F.col("home") == 1, searched).otherwise(none), asked))
+    rest = [c for c in rows.columns if c not in ("id", "fp")]
+    return (
+        met.withColumn("c", F.explode(copies)).select("shard", "c.tile", "c.role", "id", "fp", *rest)
+        .repartition(partitions(spark), "shard", "tile").sortWithinPartitions("shard", "tile")
+    )
+
+
+def links(fps: DataFrame, radius: int = 3, shard_rows: int = 2_048, tile_queries: int = 32_768, **how) -> DataFrame:
     """Distinct ``fps(fp)`` -> edges ``(src, dst)`` whose components are those of all near pairs.
 
-    Copies and dense groups give a star each, never all their pairs.
+    Fingerprints are dealt to shards around vantage points (``shards``), oversized shards to tiles, and
+    each tile is searched through a vantage-point tree.  A tile gives at most one edge for each of its
+    fingerprints, so copies and dense groups give stars, never all their pairs.
     """
-    rows = shards(fps, radius, **how)
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(_shard_links(radius), "src long, dst long")
+    rows = fps.select(F.col("fp").alias("id"), "fp")
+    dealt = _dealt(rows, radius, shard_rows, tile_queries, **how)
+    return dealt.mapInArrow(_tile_links(_stars(radius), []), "src long, dst long")
 
 
 def near_groups(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, seed: int = 42,
@@ -255,39 +350,80 @@ def near_groups(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, se
     Null or empty text and text without words have fingerprint 0 and link like any other.
     Null doc_ids never become a component_id (null only if all reachable ones are null);
     repeated rows stay; other columns of ``docs`` are not read; an empty table gives no rows.
+    Very long texts are hashed in parts of bounded size.
     """
     own = stored(fingerprints(docs.select("doc_id", "text"), words_per_shingle, seed), "fingerprints")
     first = stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     groups = components(links(first.select("fp"), radius, **how))
-    named = first.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("group"))
+    named = first.join(groups.select(F.col("node").alias("fp"), "component"), "fp", "left").select(
+        "fp", "first", F.coalesce("component", "fp").alias("group"))
     least = named.groupBy("group").agg(F.min("first").alias("component_id"))
     of_fp = named.select("fp", "group").join(least, "group")
     return own.join(of_fp, "fp").select("doc_id", "fp", "group", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, words_per_shingle: int = 3, seed: int = 42,
-             **how) -> DataFrame:
+# -- documents ------------------------------------------------------------------------------
+
+
+def near_texts(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int = 5, hashes: int = 5,
+               radius: int = 4, check_radius: int = 34, shard_rows: int = 2_048, tile_queries: int = 32_768,
+               **how) -> DataFrame:
+    """``texts(id long, text)`` -> edges ``(src, dst)`` of texts as similar as ``similarity``; rows of one id have one text.
+
+    Candidates come from ``hashes`` SimHashes of the distinct words: texts that share 0.8 of their five-word
+    shingles differ in few words, so at least one of the fingerprints is within ``radius`` bits.  In each
+    tile a text keeps the most similar text of smaller and of larger id, told by 128 SimHash bits of the shingles (texts of
+    Jaccard similarity 0.8 differ in 19 of them on average; ``check_radius`` is four deviations more).
+    Every edge is then checked: the Jaccard similarity of the sets of shingles is at least ``similarity``.
+    Texts without words are alike; fewer words than a shingle has are one shingle.
+    """
+    fields = [f"fp{i}" for i in range(hashes)] + ["check0", "check1"]
+    made = stored(texts.select("id", "text").mapInArrow(
+        _map_texts(fields, lambda text: word_fingerprints(text, hashes, words_per_shingle)),
+        "id long" + "".join(f", {f} long" for f in fields)).dropDuplicates(["id"]), "sketches")
+    found = None
+    for i in range(hashes):
+        rows = made.select("id", F.col(f"fp{i}").alias("fp"), "check0", "check1")
+        dealt = _dealt(rows, radius, shard_rows, tile_queries, **how)
+        one = dealt.mapInArrow(_tile_links(_nearest(radius, check_radius), ["check0", "check1"]), "src long, dst long")
+        one = stored(one.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), "near")
+        found = one if found is None else found.union(one)
+    edges = stored(found.distinct(), "candidates")
+    ends = stored(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "ends")
+    words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(SPACE_WORD), F.lit(0))
+    at = F.sequence(F.lit(0), F.greatest(F.size("w") - words_per_shingle, F.lit(0)))
+    sets = stored(
+        texts.select("id", "text").join(small(ends, ends.count(), 8), "id", "left_semi")
+        .dropDuplicates(["id"]).select("id", words.alias("w"))  # a hot text sends one row a task
+        .select("id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i + 1, words_per_shingle)))).alias("s")), "sets")
+    both = F.size(F.array_intersect("a", "b"))
+    return (
+        edges.join(sets.select(F.col("id").alias("src"), F.col("s").alias("a")), "src")
+        .join(sets.select(F.col("id").alias("dst"), F.col("s").alias("b")), "dst")
+        .where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst")
+    )
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one row of each near group: the one of least doc_id (nulls last).
 
-    Rows of that doc_id are told apart by their text; exact repeats of the kept row go too.
-    Columns and texts are unchanged.
+    Equal texts, and texts that ``near_texts`` links (five-word shingles, similarity 0.8 by default), are a group.
+    Rows of the kept doc_id are told apart by their text; exact repeats of the kept row go too.
+    Null text is a group of its own; texts without words are alike, so one of them stays.  Columns and
+    texts are unchanged, whatever the other columns are named; an empty table gives no rows.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"),
-                   F.xxhash64("text").alias("h"))
-    own = docs.select("doc_id", "text").withColumn("key", key)
-    marked = stored(fingerprints(own.select("key", "text"), words_per_shingle, seed), "fingerprints")
-    first = stored(marked.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
-    groups = components(links(first.select("fp"), radius, **how))
+    key = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))
+    rows = stored(docs.select(key.alias("key"), F.xxhash64("text").alias("id")), "rows")
+    first = stored(rows.groupBy("id").agg(F.min("key").alias("key")), "first")
+    groups = components(near_texts(docs.select(F.xxhash64("text").alias("id"), "text"), **how))
     least = (
-        first.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left")
-        .groupBy(F.coalesce("root", "fp").alias("group")).agg(F.min("first").alias("key"))
-        .select(F.col("key.id").alias("__id"), F.col("key.h").alias("__h"))
+        first.join(groups.select(F.col("node").alias("id"), "component"), "id", "left")
+        .groupBy(F.coalesce("component", "id").alias("group")).agg(F.min(F.struct("key", "id")).alias("k"))
+        .select(F.col("k.key.id").alias("__id"), F.col("k.id").alias("__h"))
     )
-    marked_docs = docs.withColumn("__h0", F.xxhash64("text"))
-    kept = marked_docs.join(
-        least, marked_docs["doc_id"].eqNullSafe(least["__id"]) & (marked_docs["__h0"] == least["__h"]),
-        "left_semi")
-    if not marked.groupBy("key").count().where("count > 1").isEmpty():  # rows repeat: texts are sorted then
+    marked = docs.withColumn("__h0", F.xxhash64("text"))
+    kept = marked.join(
+        least, marked["doc_id"].eqNullSafe(least["__id"]) & (marked["__h0"] == least["__h"]), "left_semi")
+    if not rows.groupBy("key", "id").count().where("count > 1").isEmpty():  # rows repeat: texts are sorted then
         kept = kept.dropDuplicates(["doc_id", "__h0"])
     return kept.select(*docs.columns)

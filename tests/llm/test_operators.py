@@ -391,51 +391,125 @@ def brute_groups(data, radius=3):
 
 def test_groups_equal_brute_force(docs, corpus):
     want = brute_groups(corpus.rows)
-    assert rows(simhash.near_groups(docs), "doc_id", "fp", "component_id") == want
-    assert rows(simhash.near_groups(docs, shard_rows=4, blocks=5), "doc_id", "fp", "component_id") == want
+    for how in ({}, {"shard_rows": 4}, {"shard_rows": 4, "again": 2, "tile_queries": 7}):
+        assert rows(simhash.near_groups(docs, **how), "doc_id", "fp", "component_id") == want
 
 
-def test_links_of_dense_and_sparse_fingerprints(spark):
+def parts(edges):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        up[root(a)] = root(b)
+    groups = defaultdict(set)
+    for x in up:
+        groups[root(x)].add(x)
+    return sorted(sorted(g) for g in groups.values())
+
+
+def dense_and_sparse():
     rng = np.random.default_rng(9)
-    base = rng.integers(0, 2**63, 60).astype(np.uint64)
-    near = np.concatenate([base, base[:5, None].repeat(60, 1).ravel() ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))])
-    s = np.unique(near)
-    fps = spark.createDataFrame([(int(x),) for x in s.view(np.int64)], "fp long")
-    want = [(i, j) for i in range(len(s)) for j in range(i) if bin(int(s[i] ^ s[j])).count("1") <= 3]
+    flip = lambda n: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64)
+    return np.unique(np.concatenate([base, base[:5].repeat(60) ^ flip(300) ^ flip(300), base[:200] ^ flip(200) ^ flip(200) ^ flip(200)]))
 
-    def parts(edges):
-        up = {}
 
-        def root(x):
-            while up.setdefault(x, x) != x:
-                x = up[x]
-            return x
+def test_links_of_dense_and_sparse_fingerprints(spark):
+    s = dense_and_sparse()
+    fps = spark.createDataFrame([(int(x),) for x in s.view(np.int64)], "fp long")
+    full = parts((int(s.view(np.int64)[i]), int(s.view(np.int64)[j])) for i in range(len(s)) for j in range(i) if bin(int(s[i] ^ s[j])).count("1") <= 3)
+    for how in ({}, {"shard_rows": 4}, {"shard_rows": 20, "again": 2, "tile_queries": 30}, {"shard_rows": 50_000}):
+        edges = [(r.src, r.dst) for r in simhash.links(fps, 3, **how).collect()]
+        assert parts(edges) == full
+        assert how.get("shard_rows") != 50_000 or len(edges) < len(s)  # stars, not pairs
+
+
+def test_every_near_pair_meets_where_one_of_them_lives(spark):
+    s = dense_and_sparse()
+    fps = spark.createDataFrame([(int(x),) * 2 for x in s.view(np.int64)], "id long, fp long")
+    for how in ({"shard_rows": 8}, {"shard_rows": 8, "again": 3, "max_points": 9}):
+        placed = simhash.shards(fps, 3, **how).collect()
+        lives, there = defaultdict(set), defaultdict(set)
+        for r in placed:
+            there[r.shard].add(r.id)
+            if r.home:
+                lives[r.id].add(r.shard)
+        assert all(len(lives[int(x)]) == 1 for x in s.view(np.int64)) and len(there) > 20
+        for i in range(len(s)):
+            for j in range(i):
+                if bin(int(s[i] ^ s[j])).count("1") <= 3:
+                    a, b = int(s.view(np.int64)[i]), int(s.view(np.int64)[j])
+                    assert any(a in there[h] for h in lives[b]) or any(b in there[h] for h in lives[a])
+
+
+def test_tree_search_finds_what_a_scan_finds():
+    s = dense_and_sparse()
+    for radius in (0, 3, 8):
+        got = sorted((int(a), int(b)) for q, i in simhash.vantage_hits(s, s[::2], radius, leaf=16) for a, b in zip(q, i))
+        assert got == sorted(zip(*(x.tolist() for x in np.nonzero(np.bitwise_count(s[::2][:, None] ^ s[None, :]) <= radius))))
+    same = np.zeros(500, np.uint64)
+    assert sum(len(q) for q, _ in simhash.vantage_hits(same, same[:3], 3, leaf=16)) == 1500
+
+
+def shingle_sets(t, n=5):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def brute_near(data, similarity=0.8):
+    """Least doc_id (nulls last) of each component of texts that share that much of their five-word shingles."""
+    texts = sorted({r[1] for r in data}, key=repr)
+    sets = [shingle_sets(t) for t in texts]
+    up = list(range(len(texts)))
 
-        for a, b in edges:
-            up[root(a)] = root(b)
-        groups = defaultdict(set)
-        for x in up:
-            groups[root(x)].add(x)
-        return sorted(sorted(g) for g in groups.values())
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
 
-    full = parts((int(s.view(np.int64)[i]), int(s.view(np.int64)[j])) for i, j in want)
-    for how in ({}, {"shard_rows": 10}, {"blocks": 6}):
-        assert parts((r.src, r.dst) for r in simhash.links(fps, 3, **how).collect()) == full
-    found = []
-    simhash.vantage_links(s, 3, lambda a, b: found.append((a, b)), leaf=8)
-    assert parts(found) == parts((int(s[i]), int(s[j])) for i, j in want)
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    place = {t: i for i, t in enumerate(texts)}
+    least = {}
+    for r in data:
+        k = (r[0] is None, r[0] or 0)
+        g = root(place[r[1]])
+        least[g] = min(least.get(g, k), k)
+    return least
 
 
 def test_one_row_of_each_group_stays(docs, empty, corpus):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    want = brute_groups(corpus.rows)
-    groups = {w[2] for w in want if w[2] is not None}
-    got = [r[0] for r in kept.select("doc_id").collect()]
-    assert sorted(x for x in got if x is not None) == sorted(groups) and got.count(None) == 1
+    want = sorted(brute_near(corpus.rows).values())
+    assert sorted((r[0] is None, r[0] or 0) for r in kept.select("doc_id").collect()) == want
     assert simhash.keep_one(empty).count() == 0 and simhash.near_groups(empty).count() == 0
 
 
+def test_near_copies_go_and_clean_documents_stay(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: f"v{int(4000 ** rng.random())}"
+    data = []
+    for i in range(60):
+        words = [word() for _ in range(300)]
+        data.append((10 * i, " ".join(words)))
+        for k in range(1, 4):
+            data.append((10 * i + k, " ".join(w if rng.random() > 0.015 else word() for w in words)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = {k for _, k in brute_near(data).values()}
+    for how in ({}, {"shard_rows": 16, "again": 2, "tile_queries": 40}):
+        got = {r.doc_id for r in simhash.keep_one(df, **how).select("doc_id").collect()}
+        assert want <= got and len(got - want) <= 4 and len(want) < 90
+
+
 def test_digest_of_items(spark):
     assert spark.range(1).select(F.sha2(F.lit("1,2"), 256)).first()[0] == hashlib.sha256(b"1,2").hexdigest()
     assert spark.range(1).select(F.crc32(F.lit("é").cast("binary"))).first()[0] == zlib.crc32("é".encode())
