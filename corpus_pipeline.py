@@ -23,8 +23,13 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints: that of the smallest doc_id."""
-    return simhash.keep_one(docs, radius=3, words_per_shingle=3, seed=42)
+    """One document of each near-duplicate group, that of the smallest doc_id (nulls last).
+
+    Links come from SimHash fingerprints through vantage-point shards, checked at a similarity of 0.8 of
+    five-word shingles.  Equal texts are a group, null texts too; texts without words are alike.  Repeated
+    rows leave one; an empty table gives none; columns are kept, whatever they are named.
+    """
+    return simhash.keep_one(docs, similarity=0.8, words_per_shingle=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
