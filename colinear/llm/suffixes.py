@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import partitions, small, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,31 +78,44 @@ def _seeds(k: int, w: int):
     return run
 
 
-def _contexts(k: int, least: int):
-    """Texts with chosen positions -> one row each: the words right of and left of the position."""
+def _contexts(k: int, least: int, rows_a_batch: int = 4096):
+    """Texts with chosen positions -> one row each: the words right of and left of the position.
+
+    A very long text is written in parts of ``rows_a_batch`` positions.
+    """
     reach = least - k  # a run of ``least`` words around a k-gram goes this far left at most
+    names = ["seed", "text_key", "pos", "right", "left"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                out: list[list] = [[], [], [], [], []]
-                for key, text, chosen in zip(part.column(0), part.column(1).cast(pa.binary()), part.column(2)):
-                    codes = (word_codes(text.as_py()) >> np.uint64(32)).astype(np.uint32)
-                    pos = np.sort(np.array(chosen.as_py(), np.int64))
-                    seeds = grams(word_codes(text.as_py()), k)[pos]
-                    padded = np.concatenate([np.zeros(reach, np.uint32), codes, np.zeros(least, np.uint32)])
+            out: list[list] = [[], [], [], [], []]
+
+            def batch() -> pa.RecordBatch:
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                made = pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], names=names)
+                for o in out:
+                    o.clear()
+                return made
+
+            for key, text, chosen in zip(b.column(0), b.column(1).cast(pa.binary()), b.column(2)):
+                words = word_codes(text.as_py())
+                every = np.sort(np.array(chosen.as_py(), np.int64))
+                seeds = grams(words, k)[every]
+                codes = np.maximum((words >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 is padding
+                padded = np.concatenate([np.zeros(reach, np.uint32), codes, np.zeros(least, np.uint32)])
+                for at in range(0, len(every), rows_a_batch):
+                    pos = every[at : at + rows_a_batch]
                     rows = padded[pos[:, None] + np.arange(reach + least)[None, :]]
                     right, left = rows[:, reach:], rows[:, :reach][:, ::-1]
                     for o, x in zip(out, (
-                            seeds.view(np.int64).tolist(), [key.as_py()] * len(pos), pos.tolist(),
+                            seeds[at : at + rows_a_batch].view(np.int64).tolist(), [key.as_py()] * len(pos), pos.tolist(),
                             [r.tobytes() for r in np.ascontiguousarray(right.byteswap())],
                             [r.tobytes() for r in np.ascontiguousarray(left.byteswap())])):
                         o += x
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(o, t) for o, t in zip(out, kinds)],
-                    names=["seed", "text_key", "pos", "right", "left"])
+                    if len(out[0]) >= rows_a_batch:
+                        yield batch()
+            if out[0]:
+                yield batch()
 
     return run
 
@@ -113,92 +126,116 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
-def _neighbours(least: int):
-    """Sorted suffixes -> spans (text_key, start, end) that a suffix shares with the one beside it.
+def _grid(rows: pa.Table, name: str) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), ">u4").reshape(len(rows), -1)
 
-    ``edge`` rows carry the first and last suffix of the task on, for the joint between tasks.
-    """
-
-    def beside(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest row of another text before and after each row (out of range: none)."""
-        new = np.r_[True, key[1:] != key[:-1]]
-        starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        return starts[run] - 1, np.r_[starts[1:], len(key)][run]
-
-    def spans(rows: pa.Table) -> pa.RecordBatch:
-        seed, key, pos = (rows.column(c).to_numpy().astype(np.int64) for c in ("seed", "text_key", "pos"))
-        grid = [np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint32).reshape(len(seed), -1)
-                for c in ("right", "left")]
-        before, after = beside(key)
-        i = np.arange(len(key))
-        x = np.concatenate([i[before >= 0], i[after < len(key)]])
-        y = np.concatenate([before[before >= 0], after[after < len(key)]])
-        same = seed[x] == seed[y]
-        x, y = x[same], y[same]
-        r, l = (_common(g[x], g[y]) for g in grid)  # noqa: E741
-        ok = r + l >= least
-        at, r, l = np.r_[x[ok], y[ok]], np.tile(r[ok], 2), np.tile(l[ok], 2)  # noqa: E741
-        return pa.RecordBatch.from_arrays(
-            [pa.array(key[at]), pa.array((pos[at] - l).astype(np.int32)), pa.array((pos[at] + r).astype(np.int32))],
-            names=["text_key", "start", "end"])
 
-    def ends(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
-        """The first and the last row, each with the nearest one of another text."""
-        before, after = beside(rows.column("text_key").to_numpy())
-        first, last = [0, int(after[0])], [int(before[-1]), len(rows) - 1]
-        return rows.take([i for i in first if i < len(rows)]), rows.take([i for i in last if i >= 0])
+_CONTEXT = ("seed", "text_key", "pos", "right", "left")
+_REACH = ("far", "r", "l")
 
-    form = ["text_key", "start", "end", "edge", "seed", "pos", "right", "left"]
 
-    def found(got: pa.RecordBatch) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([*got.columns, *(pa.nulls(got.num_rows, t) for t in kinds)], names=form)
+def _neighbours(least: int, by: str, edges: bool):
+    """Sorted suffixes -> what each shares with the nearest suffixes of another text on both sides.
 
-    def edge(rows: pa.Table, first_number: int) -> pa.RecordBatch:
-        n = len(rows)
-        take = lambda c: rows.column(c).combine_chunks()
+    ``far`` is the longest common run of words in the direction of the sort, which no suffix of another
+    text exceeds; ``r`` and ``l`` are the farthest ends of matches of ``least`` words or more.  The last
+    run of rows of one text is held until a row of another text follows.  With ``edges``, the first
+    and the last run of a task go on as rows with contexts, for the joint between tasks.
+    """
+    def compare(rows: pa.Table, starts: np.ndarray, run: np.ndarray, a: int, z: int) -> pa.RecordBatch:
+        seed = rows.column("seed").to_numpy()
+        grids = {c: _grid(rows, c) for c in ("right", "left")}
+        own = np.arange(a, z)
+        out = {c: np.zeros(z - a, np.int32) for c in _REACH}
+        for other, there in ((starts[run[own]] - 1, starts[run[own]] > 0),
+                             (np.r_[starts[1:], len(seed)][run[own]], np.r_[starts[1:], len(seed)][run[own]] < len(seed))):
+            x, y = own[there], other[there]
+            same = seed[x] == seed[y]
+            x, y = x[same], y[same]
+            r, l = (_common(grids[c][x], grids[c][y]).astype(np.int32) for c in ("right", "left"))  # noqa: E741
+            at = x - a
+            np.maximum.at(out["far"], at, r if by == "right" else l)
+            ok = r + l >= least
+            np.maximum.at(out["r"], at[ok], r[ok])
+            np.maximum.at(out["l"], at[ok], l[ok])
+        part = rows.slice(a, z - a)
+        columns = [part.column(c).combine_chunks() for c in _CONTEXT[:3]] + [pa.array(out[c]) for c in _REACH]
+        columns += [pa.nulls(z - a, pa.binary())] * 2 if edges else []
+        return pa.RecordBatch.from_arrays(columns, names=[*_CONTEXT[:3], *_REACH, *(_CONTEXT[3:] if edges else ())])
+
+    def edge(rows: pa.Table) -> pa.RecordBatch:
+        own = [rows.column(c).combine_chunks() for c in _CONTEXT]
         return pa.RecordBatch.from_arrays(
-            [take("text_key"), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()),
-             pa.array(np.arange(first_number, first_number + n)), *(take(c) for c in ("seed", "pos", "right", "left"))],
-            names=form)
+            [*own[:3], *[pa.nulls(len(rows), pa.int32())] * 3, *own[3:]], names=[*_CONTEXT[:3], *_REACH, *_CONTEXT[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, carry, head = 4 * TaskContext.get().partitionId(), None, None
+        held, known, head = None, 0, not edges  # ``known``: leading rows of ``held`` that are done with
+        starts = number = None
         for b in batches:
             for at in range(0, b.num_rows, 20_000):
-                rows = pa.Table.from_batches([b.slice(at, 20_000)])
-                rows = rows if carry is None else pa.concat_tables([carry, rows])
-                yield found(spans(rows))
-                first, carry = ends(rows)
-                head = first if head is None or len(head) < 2 else head
-        if carry is not None:
-            yield edge(head, task)
-            yield edge(carry, task + 2)
-
-    def joints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if rows is not None and len(rows):
-            yield spans(rows.sort_by("edge"))
-
-    return run, joints
-
-
-def _beside(contexts: DataFrame, by: list[str], least: int) -> DataFrame:
-    n = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run, joints = _neighbours(least)
-    order = ["seed", *by, "text_key", "pos"]
+                rows = pa.Table.from_batches([b.slice(at, 20_000)]).select(list(_CONTEXT))
+                rows = rows if held is None else pa.concat_tables([held, rows])
+                seed, key = rows.column("seed").to_numpy(), rows.column("text_key").to_numpy()
+                new = np.r_[True, (seed[1:] != seed[:-1]) | (key[1:] != key[:-1])]
+                starts, number = np.flatnonzero(new), np.cumsum(new) - 1
+                last = int(starts[-1])
+                if not head and len(starts) > 1:
+                    yield edge(rows.slice(0, int(starts[1]) + 1))
+                    head = True
+                if last > known:
+                    yield compare(rows, starts, number, known, last)
+                held, known = rows.slice(max(last - 1, 0)), min(last, 1)
+                number = number[max(last - 1, 0) :] - number[max(last - 1, 0)]
+                starts = np.array([0, 1][: int(number[-1]) + 1])
+        if held is not None:
+            yield compare(held, starts, number, known, len(held))
+            if edges:
+                yield edge(held)
+
+    return run
+
+
+def _beside(contexts: DataFrame, by: str, least: int) -> DataFrame:
+    """``(text_key, pos, seed, far, r, l)`` by the order of the words to the right or to the left."""
+    n = partitions(contexts.sparkSession)
+    order = ["seed", by, "left" if by == "right" else "right", "text_key", "pos"]
+    form = "seed long, text_key long, pos int, far int, r int, l int"
     found = stored(
-        contexts.repartitionByRange(n, *order).sortWithinPartitions(*order)
-        .select("seed", "text_key", "pos", "right", "left").mapInArrow(
-            run, "text_key long, start int, end int, edge long, seed long, pos int, right binary, left binary"),
-        "beside")
-    # at most four rows a task: their number is that of the tasks, not of the suffixes
-    seams = found.where("edge is not null").select("seed", "text_key", "pos", "right", "left", "edge").coalesce(1)
-    form = "text_key long, start int, end int"
-    return found.where("edge is null").select("text_key", "start", "end").union(seams.mapInArrow(joints, form))
+        contexts.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*_CONTEXT)
+        .mapInArrow(_neighbours(least, by, True), f"{form}, right binary, left binary"), "beside")
+    # the first and last run of each task meet by seed
+    seams = found.where("right is not null").select(*_CONTEXT).distinct().repartition(n, "seed").sortWithinPartitions(*order)
+    return found.where("right is null").drop("right", "left").union(
+        seams.select(*_CONTEXT).mapInArrow(_neighbours(least, by, False), form))
+
+
+def _windows(least: int, k: int):
+    """Contexts with a range of offsets -> the hash of each asked run of ``least`` words around the seed."""
+    reach = least - k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = [np.uint64(1)]
+        with np.errstate(over="ignore"):
+            for _ in range(least):
+                power.append(power[-1] * _ODD)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                rows = pa.Table.from_batches([b.slice(at, 4096)])
+                seed, key, pos, low, high, mask = (rows.column(c).to_numpy() for c in ("seed", "text_key", "pos", "low", "high", "mask"))
+                words = np.concatenate([_grid(rows, "left")[:, ::-1], _grid(rows, "right")], axis=1).astype(np.uint64)
+                out = []
+                with np.errstate(over="ignore"):
+                    upto = np.zeros((len(words), words.shape[1] + 1), np.uint64)
+                    for i, column in enumerate(words.T):
+                        upto[:, i + 1] = upto[:, i] * _ODD + _mix(column + _ODD)
+                    for j in range(reach + 1):
+                        own = np.flatnonzero((low <= j) & (j <= high) & (mask >> j & 1 == 1))
+                        h = _mix(upto[own, reach - j + least] - upto[own, reach - j] * power[least])
+                        out.append((seed[own], np.full(len(own), j, np.int32), h.view(np.int64), key[own], pos[own]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c)) for c in zip(*out)], names=["seed", "j", "h", "text_key", "pos"])
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> DataFrame:
@@ -207,12 +244,20 @@ def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> Dat
     Texts count once each, by ``text_key`` = xxhash64(text) (whole copies: see ``repeats``).  Suffixes
     are kept at the minimisers of ``gram``-word hashes over windows that make every passage of
     ``least_words`` words hold one; those whose gram only one text has are done with.  The
-    rest are sorted by the words to the right, so that the neighbours share the longest passage
-    to the right, and once more by the words to the left; each is compared with the nearest one
-    of another text on both sides and the match extended left and right.  Overlapping matches
-    of a text unite.
+    rest are sorted by the words to the right and once more by the words to the left; each is compared with the
+    nearest one of another text on both sides and the match extended left and right.
+
+    A suffix is settled if no other text can share more than its neighbours do: the longest match to the right
+    and the one to the left are both part of matches of ``least_words``, or together too short for one.  What isn't
+    settled (a partner may be next in neither order) is refined within its seed: all suffixes of the seed name
+    the runs of ``least_words`` words at the offsets asked for, and runs that two texts have are matches.  So no
+    shared passage is lost.  A match longer than the context around one seed holds further seeds; overlapping
+    matches of a text unite, which extends each passage to its true ends.
+
+    A hot seed is sorted over many tasks; its windows are counted by partial aggregation.  Memory: the
+    positions of one text with one gram that follow each other in the order.
     """
-    w = least_words - gram + 1
+    w, reach = least_words - gram + 1, least_words - gram
     own = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
     seeds = stored(own.mapInArrow(_seeds(gram, w), "seed long, text_key long, pos int"), "seeds")
     shared = seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a <> z")
@@ -224,10 +269,32 @@ def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> Dat
     contexts = stored(chosen.mapInArrow(
         _contexts(gram, least_words),
         "seed long, text_key long, pos int, right binary, left binary"), "contexts")
-    spans = _beside(contexts, ["right"], least_words).union(_beside(contexts, ["left"], least_words)).distinct()
+    none = F.lit(0).alias
+    to_right, to_left = (_beside(contexts, by, least_words) for by in ("right", "left"))
+    reached = stored(
+        to_right.select("text_key", "pos", "seed", F.col("far").alias("fr"), none("fl"), "r", "l")
+        .union(to_left.select("text_key", "pos", "seed", none("fr"), F.col("far").alias("fl"), "r", "l"))
+        .groupBy("text_key", "pos").agg(*[F.max(c).alias(c) for c in ("seed", "fr", "fl", "r", "l")]), "reached")
+    open_ = reached.where((F.col("fr") + F.col("fl") >= least_words) & ((F.col("r") < F.col("fr")) | (F.col("l") < F.col("fl"))))
+    offsets = F.sequence(F.greatest(F.lit(0), least_words - F.col("fr")), F.least(F.lit(reach), F.col("fl")))
+    asked = F.filter(offsets, lambda j: (j > F.col("l")) | (least_words - j > F.col("r")))
+    mask = F.aggregate(asked, F.lit(0).cast("long"), lambda m, j: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
+    masks = stored(open_.select("seed", mask.alias("mask")).where("mask <> 0").groupBy("seed").agg(F.bit_or("mask").alias("mask")), "asked")
+    bounds = stored(reached.where(F.col("fr") + F.col("fl") >= least_words).join(
+        small(masks, masks.count(), 16), "seed").select(
+        "text_key", "pos", "mask", F.greatest(F.lit(0), least_words - F.col("fr")).alias("low"), F.least(F.lit(reach), F.col("fl")).alias("high")), "bounds")
+    windows = stored(
+        contexts.join(small(bounds, bounds.count(), 28), ["text_key", "pos"]).select(*_CONTEXT, "low", "high", "mask")
+        .mapInArrow(_windows(least_words, gram), "seed long, j int, h long, text_key long, pos int"), "windows")
+    key = ["seed", "j", "h"]
+    twice = stored(windows.groupBy(*key).agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a <> z").select(*key), "twice")
+    refined = windows.join(twice, key, "left_semi").select(
+        "text_key", (F.col("pos") - F.col("j")).alias("start"), (F.col("pos") - F.col("j") + least_words).alias("end"))
+    spans = reached.where("r > 0").select(
+        "text_key", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")).union(refined).distinct()
     order = Window.partitionBy("text_key").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.coalesce(reach < F.col("start"), F.lit(True)), 1).otherwise(0)
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(upto < F.col("start"), F.lit(True)), 1).otherwise(0)
     run = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return (
         spans.withColumn("new", new).withColumn("run", run).groupBy("text_key", "run")
@@ -239,7 +306,8 @@ def repeats(docs: DataFrame, least_words: int = 50, gram: int = 8) -> DataFrame:
     """``(doc_id, start, end, whole boolean)``: the repeated passages of each row, in words from 0.
 
     A text that several rows have is one passage (``whole``) if it has ``least_words`` words.
-    Clean rows have none.  Null and short texts have none; an empty table gives no rows.
+    Clean rows have none.  Null and short texts have none; repeated rows each have theirs; other
+    columns aren't read; very long texts are read whole, in parts; an empty table gives no rows.
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("n"))

@@ -90,6 +90,55 @@ def test_repeated_passages_equal_all_shared_windows(docs, corpus):
     assert set(got) == set(want)
 
 
+def spans_of(df):
+    return {(r[0], r[1], r[2], r[3]) for r in suffixes.repeats(df).select("doc_id", "start", "end", "whole").collect()}
+
+
+def wanted_spans(data):
+    return {x if x[3] else (x[0], start_of(set(range(x[1], x[2])), x[2] - 1), x[2], False) for x in brute_spans(data)}
+
+
+def test_variants_that_share_more_on_one_side_hide_no_passage(spark):
+    """A passage whose partner is next in neither order: others share more to the right only, or to the left only."""
+    import random
+
+    rng = random.Random(21)
+    data = []
+    for c in range(220):
+        new = lambda n: [f"c{c}w{rng.randint(0, 10**9)}" for _ in range(n)]
+        left, passage, right = new(60), new(50 + c % 3), new(60)
+        texts = [left + passage + right, new(60) + passage + new(60)]
+        for _ in range(rng.randint(2, 5)):
+            k = rng.randint(8, 40)
+            texts.append(new(60) + passage[k:] + right[: rng.randint(1, min(k, 40))] + new(60))
+            k = rng.randint(8, 40)
+            texts.append(new(60) + left[len(left) - rng.randint(1, min(k, 40)) :] + passage[:-k] + new(60))
+        rng.shuffle(texts)
+        data += [(20 * c + i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert spans_of(df) == wanted_spans(data)
+
+
+def test_long_and_periodic_passages_keep_their_true_ends(spark):
+    import random
+
+    from .conftest import prose
+
+    rng = random.Random(2)
+    new = lambda n: " ".join(f"x{rng.randint(0, 10**9)}" for _ in range(n))
+    long, few = new(6000), prose(rng, 300)
+    data = [(0, f"{new(7)} {long} {new(9)}"), (1, f"{long} {new(3)}"), (2, f"{new(70)} {new(4)}"), (3, "a b " * 400), (4, "b a " * 90 + new(60)),
+            (5, "a b " * 30 + new(80)), (6, f"{few} {few} {few}"), (7, f"{new(5)} {few}"), (8, None), (9, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = spans_of(df)
+    assert got == wanted_spans(data) and {(0, 7, 6007, False), (1, 0, 6000, False)} <= got
+
+
+def test_repeats_of_empty_tables(docs, empty):
+    assert suffixes.repeats(empty).count() == 0 and suffixes.repeats(empty).columns == ["doc_id", "start", "end", "whole"]
+    assert suffixes.repeats(docs.select("doc_id", "text", F.lit(1).alias("start"), F.lit("x").alias("text_key"), F.lit(2).alias("seed"))).count() > 0
+
+
 def test_minimisers_cover_every_window():
     rng = np.random.default_rng(1)
     for h in (rng.integers(0, 2**63, 300).astype(np.uint64), np.zeros(120, np.uint64), rng.integers(0, 3, 200).astype(np.uint64)):
