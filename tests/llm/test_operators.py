@@ -313,7 +313,7 @@ def test_contamination_equals_brute_force(spark, docs, corpus):
     out = decontaminate.contamination(docs, bench)
     got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out.collect()), key=repr)
     assert got == brute_contamination(corpus.rows, bench_rows(corpus))
-    small = decontaminate.contamination(docs, bench, small_rows=0)
+    small = decontaminate.contamination(docs, bench, small_bytes=0)
     assert rows(small, "doc_id", "n_hit") == rows(out, "doc_id", "n_hit")
     clean = decontaminate.clean(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(1 for g in got if not g[2])
@@ -329,9 +329,32 @@ def test_proximity_matches_allow_moved_words(spark):
     base = "alpha beta gamma delta eps zeta eta theta"
     data = spark.createDataFrame([(1, "x " + base), (2, "alpha gamma beta delta eps zeta eta theta y"), (3, "alpha beta gamma")], "doc_id long, text string")
     phrases = decontaminate.windows(spark.createDataFrame([(1, base)], "item_id long, text string"))
-    ix = decontaminate.index(data, phrases, reach=12)
-    got = {r.doc_id: r.missing for r in decontaminate.proximity_matches(ix, slack=2).collect()}
-    assert got == {1: 0, 2: 2}
+    for limit in (None, 0):
+        ix = decontaminate.index(data, phrases, slack=2, small_bytes=limit)
+        got = {r.doc_id: r.missing for r in decontaminate.proximity_matches(ix, slack=2).collect()}
+        assert got == {1: 0, 2: 2}
+        assert [(r.doc_id, r.start, r.length) for r in decontaminate.exact_matches(ix).collect()] == [(1, 1, 8)]
+    with pytest.raises(ValueError):
+        decontaminate.proximity_matches(ix, slack=3)
+
+
+def test_items_of_one_or_two_common_words(spark):
+    data = [(i, "the end the the start of the end " * (i % 4), None) for i in range(20)] + [(99, None, None), (None, "the", None)]
+    bench = [(1, "The"), (2, "the end"), (3, "the the start"), (4, "end of"), (5, "")]
+    df, b = spark.createDataFrame(data, "doc_id long, text string, tid int"), spark.createDataFrame(bench, "item_id long, text string")
+    for limit in (None, 0):
+        out = decontaminate.contamination(df, b, small_bytes=limit)
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in out.collect()), key=repr) == brute_contamination(data, bench)
+
+
+def test_postings_list_every_test_term_near_an_anchor(spark):
+    data = spark.createDataFrame([(1, "q a b c d q q a x b c d e")], "doc_id long, text string")
+    phrases = decontaminate.windows(spark.createDataFrame([(1, "a b c d e")], "item_id long, text string"))
+    ix = decontaminate.index(data, phrases)
+    (anchor,) = ix.phrases.select("term").collect()
+    assert anchor.term == "e" and [tuple(r) for r in ix.anchors.select("term", "pos").collect()] == [("e", 12)]
+    assert sorted(r.pos for r in ix.postings.collect()) == [9, 10, 11, 12]  # x is no test term
+    assert decontaminate.exact_matches(ix).count() == 0
 
 
 # -- 8 tool calls
