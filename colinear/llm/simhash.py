@@ -275,7 +275,7 @@ def shards(rows: DataFrame, radius: int = 3, shard_rows: int = 2_048, max_points
     """
     spark, rest = rows.sparkSession, [c for c in rows.columns if c not in ("id", "fp")]
     columns = ["shard", "home", "id", "fp", *rest]
-    now = rows.select(F.lit(0).cast("long").alias("shard"), F.lit(1).alias("home"), "id", "fp", *rest)
+    now = rows.select(F.pmod("id", F.lit(1)).cast("long").alias("shard"), F.lit(1).alias("home"), "id", "fp", *rest)  # all in shard 0
     for level in range(max_levels):
         wanted = F.least(F.ceil(F.col("n") / shard_rows), F.lit(max_points))
         sizes = stored(

@@ -241,24 +241,59 @@ def test_usable_and_quantised(spark):
 # -- 6 language
 
 
-def test_cross_parsing_counts_phrases_like_a_plain_parser():
+def plain_phrases(ref, c):
+    n, i, s = 0, 0, ref.astype(np.uint16).tobytes()
+    inside = lambda x: any(s.startswith(x, k) for k in range(0, len(s), 2)) if s.find(x) % 2 else s.find(x) >= 0
+    while i < len(c):
+        j = i + 1
+        while j < len(c) and inside(c[i:j].tobytes()) and inside(c[i : j + 1].tobytes()):
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
+def test_cross_parsing_counts_phrases_of_whole_texts_like_a_plain_parser():
     rng = np.random.default_rng(4)
-    ref = rng.integers(1, 5, 200).astype(np.uint8)
-    parser = langid.CrossParser(None, ["x"], [langid.automaton(ref, 8)], [200])
-    s = ref.tobytes()
-
-    def plain(c):
-        n, i = 0, 0
-        while i < len(c):
-            j = i + 1
-            while j < len(c) and c[i : j + 1].tobytes() in s:
-                j += 1
-            i, n = max(j, i + 1), n + 1
-        return n
-
-    texts = [rng.integers(1, 7, n).astype(np.uint8) for n in (1, 2, 30, 64, 65, 300)]
-    got = parser.phrases(texts, lane=64)[:, 0].tolist()
-    assert got == [sum(plain(t[i : i + 64]) for i in range(0, len(t), 64)) for t in texts]
+    ref = np.concatenate([rng.integers(1, 5, 200), [300, 301, 300], np.tile([1, 2, 3], 9)]).astype(np.uint16)
+    parser = langid.CrossParser(None, ["x"], [langid.automaton(ref, 400)], [200])
+    texts = [rng.choice([1, 2, 3, 4, 5, 300, 301], n, p=[0.3, 0.3, 0.2, 0.15, 0.02, 0.02, 0.01]).astype(np.uint16)
+             for n in (1, 2, 30, 64, 65, 300, 513, 2000)]
+    texts += [np.tile([1, 2, 3], 400).astype(np.uint16), np.full(900, 4, np.uint16), np.full(70, 399, np.uint16)]
+    want = [plain_phrases(ref, t) for t in texts]
+    for lane in (7, 64, 512):
+        assert parser.phrases(texts, lane=lane)[:, 0].tolist() == want
+
+
+def test_phrases_of_very_long_texts_do_not_depend_on_lanes():
+    rng = np.random.default_rng(5)
+    ref = rng.integers(1, 30, 5000).astype(np.uint16)
+    parser = langid.CrossParser(None, ["x"], [langid.automaton(ref, 40)], [5000])
+    for text in (np.concatenate([ref[i : i + 9] for i in rng.integers(0, 4990, 112_000)]), np.tile(ref[:7], 150_000)):
+        text = text[:1_000_000].astype(np.uint16)
+        counts = {parser.phrases([text, ref], lane=n)[0, 0] for n in (512, 4099, 50_000)}
+        assert len(text) == 1_000_000 and len(counts) == 1
+
+
+def test_six_scripts_are_told_apart(spark):
+    rng = np.random.default_rng(7)
+    letters = {"latin": "abcdefghij", "cyrillic": "абвгдежзик", "ukrainian": "абвгдеїєіґ", "greek": "αβγδεζηθικ", "han": "的一是不了人我在有他", "hindi": "कखगघचछजझटठ",
+               "gothic": "𐌰𐌱𐌲𐌳𐌴𐌵𐌶𐌷𐌸𐌹"}
+    word = lambda x: "".join(rng.choice(list(letters[x]), 4))
+    words = {x: [word(x) for _ in range(40)] for x in letters}
+    data = [(i, " ".join(rng.choice(words[x], 30)).upper(), x) for i, x in enumerate(list(letters) * 20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(df.where("doc_id < 84"))
+    assert model.alphabet.size == langid.LETTERS + len(set("".join(letters.values())))
+    assert all(r.lang == r.lang_pred for r in langid.identify(df.where("doc_id >= 84"), model).collect())
+
+
+def test_sample_for_languages_is_bounded(spark):
+    df = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("word " * 50).alias("text"), F.lit("en").alias("lang"))
+    df = df.union(spark.createDataFrame([(i, f"des mots {i} " * 100, "fr") for i in range(500)] + [(900 + i, None, "de") for i in range(300)] + [(2000, "ein Haus", "de")], "doc_id long, text string, lang string"))
+    model = langid.train(df, chars_per_language=5000)
+    assert model.languages == ["de", "en", "fr"] and max(model.lengths) <= 5000 and model.lengths[1] == 251
+    with pytest.raises(ValueError):
+        langid.train(df, max_languages=2)
 
 
 def test_language_of_held_out_texts(spark, docs, empty):
