@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..storage import shared_dir, stored
 
-__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "null_safe", "partitions", "shared_dir", "small", "stored", "table"]
+__all__ = ["SPACE_WORD", "UPPER", "ascii_lower", "null_safe", "partitions", "shared_dir", "small", "spread_join",
+           "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A run of anything but space, tab, line feed, vertical tab, form feed, carriage return.
@@ -34,6 +35,21 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int | None = None) ->
     return F.broadcast(df) if rows * (row_bytes + 16) <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, row_bytes: int, how: str = "inner",
+                limit: int | None = None, salt: list[str] | None = None, salts: int = 32) -> DataFrame:
+    """Join on ``on`` where ``left`` may have hot keys: ``right`` (``rows`` counted) is broadcast if small.
+
+    Else the rows of ``left`` are salted by the columns ``salt`` (all, if none are named) and ``right`` is there
+    once for each salt.
+    """
+    hinted = small(right, rows, row_bytes, limit)
+    if hinted is not right:
+        return left.join(hinted, on, how)
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = left.withColumn("__salt", F.pmod(F.xxhash64(*(salt or left.columns)), F.lit(salts)).cast("int"))
+    return own.join(copies, [*on, "__salt"], how).drop("__salt")
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, null_safe, small, stored
+from .common import ascii_lower, null_safe, small, spread_join, stored
 
 #: What lies between two words, once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,17 +63,6 @@ def _raw(docs: DataFrame) -> DataFrame:
         "n_words", F.greatest(F.size("piece") - lead - tail, F.lit(0)))
 
 
-def _by_term(words: DataFrame, side: DataFrame, rows: int, row_bytes: int, limit: int | None, how: str = "inner") -> DataFrame:
-    """Join on ``term``: by broadcast if ``side`` is small, else salted, so that a frequent term is no hot key."""
-    hinted = small(side, rows, row_bytes, limit)
-    if hinted is not side:
-        return words.join(hinted, "term", how)
-    salts = 32
-    spread = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    own = words.withColumn("__salt", F.pmod(F.xxhash64(*words.columns), F.lit(salts)).cast("int"))
-    return own.join(spread, ["term", "__salt"], how).drop("__salt")
-
-
 def index(docs: DataFrame, phrases: DataFrame, slack: int = 0, small_bytes: int | None = None) -> Index:
     """Positional inverted index of ``docs(doc_id, text)`` for test ``phrases(phrase array<string>)``.
 
@@ -89,11 +78,11 @@ def index(docs: DataFrame, phrases: DataFrame, slack: int = 0, small_bytes: int
     n_terms, width = terms.agg(F.count("*"), F.coalesce(F.max(F.octet_length("term")), F.lit(0))).first()
     width += 32
     counted = stored(
-        _by_term(_raw(docs).select(F.explode("piece").alias("term")), terms, n_terms, width, small_bytes)
+        spread_join(_raw(docs).select("h", F.posexplode("piece").alias("at", "term")), terms, ["term"], n_terms, width, limit=small_bytes, salt=["h", "at"])
         .groupBy("term").agg(F.count("*").alias("n")), "counts")
     chosen = stored(
-        _by_term(phrases.select("phrase_id", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term")),
-                 counted, n_terms, width, small_bytes)
+        spread_join(phrases.select("phrase_id", F.size("phrase").alias("size"), F.posexplode("phrase").alias("offset", "term")),
+                 counted, ["term"], n_terms, width, limit=small_bytes)
         .groupBy("phrase_id", "size")
         .agg(F.array_sort(F.collect_list(F.struct("n", F.xxhash64("term").alias("tid"), "offset", "term"))).alias("p"))
         .where(F.size("p") == F.col("size"))
@@ -106,16 +95,16 @@ def index(docs: DataFrame, phrases: DataFrame, slack: int = 0, small_bytes: int
     first = F.greatest(pos - F.col("reach"), F.lit(0))
     last = F.least(pos + F.col("reach"), F.col("n_words") - 1)
     listed = stored(
-        _by_term(
+        spread_join(
             _raw(docs).select("doc_id", "h", "n_words", "lead", "piece",
                               F.posexplode(F.concat("piece", F.array(F.lit(DOCUMENT)))).alias("at", "term")),
-            anchors, n_terms + 1, width, small_bytes)
+            anchors, ["term"], n_terms + 1, width, limit=small_bytes, salt=["h", "at"])
         .select("doc_id", "h", "n_words", "term", pos.alias("pos"), first.alias("first"),
                 F.when(F.col("term") != DOCUMENT, F.slice("piece", first + F.col("lead") + 1, last - first + 1))
                 .alias("words")), "listed")
     around = listed.where(F.col("term") != DOCUMENT).select("doc_id", "h", "first", F.posexplode("words").alias("at", "term"))
     postings = stored(
-        _by_term(around, terms, n_terms, width, small_bytes, "left_semi")
+        spread_join(around, terms, ["term"], n_terms, width, "left_semi", small_bytes)
         .select("doc_id", "h", F.xxhash64("term").alias("tid"), (F.col("first") + F.col("at")).alias("pos")), "postings")
     return Index(
         listed.where(F.col("term") == DOCUMENT).select("doc_id", "h", "n_words"),
@@ -126,7 +115,7 @@ def _starts(ix: Index) -> DataFrame:
     """``(doc_id, h, phrase_id, start, probes)``: the lists of the rarest terms, shifted to where their phrases would start."""
     n, width = ix.phrases.agg(F.count("*"), F.coalesce(F.max(F.size("probes")), F.lit(0))).first()
     start = F.col("pos") - F.col("probes")[0]["offset"]
-    return _by_term(ix.anchors, ix.phrases, n, 64 + 56 * width, ix.small_bytes).select("doc_id", "h", "phrase_id", start.alias("start"), "probes")
+    return spread_join(ix.anchors, ix.phrases, ["term"], n, 64 + 56 * width, limit=ix.small_bytes).select("doc_id", "h", "phrase_id", start.alias("start"), "probes")
 
 
 def _intersected(ix: Index, asked: DataFrame, columns: list[str]) -> DataFrame:

@@ -85,6 +85,26 @@ s AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+""",
+    "op9_lines": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, dense_rank() OVER (ORDER BY doc_id, text) AS doc FROM documents),
+parts AS (SELECT rid, doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
+l AS (
+  SELECT rid, doc, i, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
+         lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w
+  FROM parts),
+k AS MATERIALIZED (SELECT rid, doc, i, w, dense_rank() OVER (ORDER BY w) AS line FROM l WHERE len(w) >= 3),
+n AS MATERIALIZED (SELECT line, any_value(w) AS w, len(any_value(w)) AS size, any_value(w)[1:3] AS lead, count(DISTINCT doc) AS n_docs FROM k GROUP BY line),
+t AS (SELECT line, size, lead, n_docs, unnest(w) AS tok, generate_subscripts(w, 1) AS pos FROM n),
+f AS (SELECT size, lead, pos, tok FROM t GROUP BY size, lead, pos, tok HAVING sum(n_docs) >= 10),
+p AS (SELECT line, size, lead, list(pos || ' ' || tok ORDER BY pos) AS kept FROM t JOIN f USING (size, lead, pos, tok) GROUP BY line, size, lead HAVING count(*) >= 0.7 * size - 1e-9),
+q AS (SELECT size, lead, kept FROM k JOIN p USING (line) GROUP BY size, lead, kept HAVING count(DISTINCT doc) >= 10),
+r AS (SELECT DISTINCT rid, i FROM k JOIN p USING (line) JOIN q USING (size, lead, kept)),
+o AS (SELECT rid, count(*) AS n_dropped FROM r GROUP BY rid),
+left_ AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS rest FROM parts ANTI JOIN r USING (rid, i) GROUP BY rid)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INT AS n_lines, coalesce(n_dropped, 0)::INT AS n_dropped,
+       CASE WHEN n_dropped IS NULL THEN text ELSE coalesce(rest, '') END AS text
+FROM d LEFT JOIN o USING (rid) LEFT JOIN left_ USING (rid)
 """,
     "op8_toolcalls": r"""
 WITH RECURSIVE c AS (

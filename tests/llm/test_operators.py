@@ -433,28 +433,68 @@ def test_repeated_and_empty_messages(spark):
 # -- 9 line templates
 
 
-def test_cluster_compares_with_every_template():
-    rng = np.random.default_rng(8)
-    codes = [rng.integers(0, 3, 10).astype(np.uint16).tobytes() for _ in range(120)]
-
-    def plain():
-        first, out = [], []
-        for i, c in enumerate(codes):
-            a = np.frombuffer(c, np.uint16)
-            sims = [(np.frombuffer(codes[f], np.uint16) == a).sum() for f in first]
-            if sims and max(sims) >= 7:
-                out.append(first[int(np.argmax(sims))])
+def brute_recurring(data, least_docs, similarity=0.7, least_tokens=3):
+    """(doc_id, text, line number) of lines whose template recurs, from the rule in words."""
+    lines_of = defaultdict(set)
+    for d, t, *_ in data:
+        for i, line in enumerate((t or "").split("\n")):
+            tok = tuple("<*>" if re.search("[0-9]", x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line))
+            if len(tok) >= least_tokens:
+                lines_of[tok].add((d, t, i))
+    docs_of = {k: {x[:2] for x in v} for k, v in lines_of.items()}
+    count = Counter()
+    for k in docs_of:
+        for at, x in enumerate(k):
+            count[(len(k), k[:3], at, x)] += len(docs_of[k])
+    template = {}
+    for k in docs_of:
+        kept = tuple((at, x) for at, x in enumerate(k) if count[(len(k), k[:3], at, x)] >= least_docs)
+        if len(kept) >= similarity * len(k) - 1e-9:
+            template[k] = (len(k), k[:3], kept)
+    of = defaultdict(set)
+    for k, t in template.items():
+        of[t] |= docs_of[k]
+    return {x for k, t in template.items() if len(of[t]) >= least_docs for x in lines_of[k]}
+
+
+def test_recurring_lines_equal_brute_force_in_any_partitioning(spark):
+    import random
+
+    rng = random.Random(4)
+    data = []
+    for i in range(80):
+        own = []
+        for _ in range(rng.randint(0, 6)):
+            kind = rng.random()
+            if kind < 0.3:
+                own.append(f"Posted by user{rng.randint(0, 99)} on {rng.choice(['Monday', 'Tuesday'])} at noon in {rng.choice(['Rome', 'Bonn', 'Oslo', 'Wien'])}")
+            elif kind < 0.5:
+                own.append("all rights are " + " ".join(rng.choice(["reserved", "yours", "kept", "given"]) for _ in range(4)))
+            elif kind < 0.6:
+                own.append(rng.choice(["Share this", "one two three", "", "\t\x0b one  two\rthree "]))
             else:
-                first.append(i)
-                out.append(i)
-        return out
+                own.append(" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randint(1, 7))))
+        data.append((i, "\n".join(own)))
+    data += [(1, data[1][1]), (200, None), (201, ""), (None, data[0][1]), (202, "all rights are reserved yours kept given\n" * 3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    keys = {r[2]: (r[0], r[1]) for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text")).collect()}
+    for n, least in ((1, 5), (7, 8)):
+        got = {(*keys[r.doc], r.line_no) for r in lines.recurring(df.repartition(n), least_docs=least).collect()}
+        assert got == brute_recurring(data, least) and got
+
 
-    assert lines.cluster(list(range(120)), codes, 0.7) == plain()
+def test_patterns_name_the_variable_fields(spark):
+    data = [(i, f"Posted by {'abcdefghijklmnopqrst'[i] * 3} on day {i} for all\n{'xyz'[i % 3]} q w") for i in range(20)]
+    got = lines.patterns(spark.createDataFrame(data, "doc_id long, text string"), least_docs=12).collect()
+    assert [(r.pattern, r.n_docs, r.n_lines) for r in got] == []  # the third token leads
+    data = [(i, f"Posted on day {i} by {'abcdefghijklmnopqrst'[i] * 3} for all readers") for i in range(20)]
+    got = lines.patterns(spark.createDataFrame(data, "doc_id long, text string"), least_docs=12).collect()
+    assert [(r.pattern, r.n_docs, r.n_lines) for r in got] == [("Posted on day <*> by <*> for all readers", 20, 20)]
 
 
 def test_recurring_templates_are_dropped(spark, docs, empty, corpus):
     own = lambda i: " ".join("abcdefghijkl"[i] * k for k in (3, 4, 5, 6))
-    data = [(i, f"{own(i)}\nPage {i} of 99 pages\n\nAll rights are reserved {'x' if i % 2 else 'y'} now and ever", None) for i in range(12)]
+    data = [(i, f"{own(i)}\nPage {i} of 99 pages\n\nAll rights are reserved {'x' if i % 2 else 'y'} now and ever", 5) for i in range(12)]
     data += [(50, None, None), (51, "", None), (52, "Page 7 of 99 pages", None), (0, data[0][1], None)]
     df = spark.createDataFrame(data, "doc_id long, text string, n_lines int")
     got = {r.doc_id: r for r in lines.drop_lines(df, least_docs=12).collect()}
