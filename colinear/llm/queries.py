@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, langid, lines, mix, quality, shard, simhash, suffixes, toolcalls, topk
-from .common import null_safe, table
+from .common import null_safe, stored, table
 from .sql import SQL
 
 SHARDS, SEED = 24, 7
@@ -34,11 +34,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what a mix of 150 % of all words, sources weighing 3, 1, 2, takes of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sources = F.array("source")
-    plan = mix.mix(docs, sources, mix.cycle_weights([3, 1, 2], 1.5, 2.0), repeats=2, seed=17)
+    plan = mix.mix(docs, sources, mix.cycle_weights([3, 1, 2], 1.5, 2.0), repeats=2, seed=17, keep=["doc_id", "source"])
     by_source = spark.createDataFrame(
         [(s, n, float(plan.targets[s])) for s, n in plan.sizes.items()],
         "source string, source_size long, target double")
-    timed = plan.times_of(docs, sources).select("doc_id", "source", mix.words(F.col("text")).alias("size"), "__times")
+    timed = plan.routed(plan.rows).select("doc_id", "source", F.col("__size").alias("size"), F.size("__routes").alias("__times"))
     return null_safe(timed, F.broadcast(by_source), ["source"], "left").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("__times")).cast("long").alias("taken"))
 
@@ -60,8 +60,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best candidates for every hundredth vector, by exact integer inner product."""
-    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
-        F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"))
+    vectors = stored(table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding"))).select(
+        F.col("vec_id").alias("id"), topk.quantised(F.col("embedding")).alias("v"),
+        F.monotonically_increasing_id().alias("row")), "vectors")
     return topk.search(vectors, vectors.where("id % 100 = 0"), k=10)
 
 

@@ -6,7 +6,7 @@ SQL = {
     "op3_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('17:' || coalesce(doc_id::VARCHAR, 'null')) AS o
+         md5('17:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS o
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS n,
@@ -32,7 +32,7 @@ q AS (
          CASE WHEN n > 0 THEN floor(target + 0.5)::BIGINT % n ELSE 0 END AS rest FROM t),
 r AS (
   SELECT d.*, q.n AS source_size, q.target, q.times, q.rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size AS before
+         sum(size) OVER (PARTITION BY d.source ORDER BY o ROWS UNBOUNDED PRECEDING) - size AS before
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (times + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken
@@ -76,14 +76,14 @@ SELECT doc_id, a::INT, z::INT, false FROM d JOIN t USING (text) JOIN spans USING
 """,
     "op5_topk": r"""
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.rid AS rid, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
 """,
     "op9_lines": r"""

@@ -175,6 +175,35 @@ def test_mix_comes_near_targets_with_whole_documents(docs, corpus):
     assert mix.mixed(docs, sources, plan).columns == docs.columns
 
 
+def test_many_patterns_are_solved_in_seconds():
+    import random
+    import time
+
+    rng = random.Random(1)
+    n, m = 10_000, 40
+    capacity = [rng.randint(1, 1000) for _ in range(n)]
+    members = [sorted(rng.sample(range(m), rng.randint(1, 4))) for _ in range(n)]
+    quota = [rng.randint(1, 3 * sum(capacity) // m) for _ in range(m)]
+    began = time.time()
+    flows = min_cost = mix.min_cost_flow(capacity, members, quota, 2)
+    assert time.time() - began < 60
+    used = [sum(f.values()) for f in flows]
+    assert all(u <= 2 * c for u, c in zip(used, capacity)) and all(sum(f.get(s, 0) for f in min_cost) <= q for s, q in enumerate(quota))
+
+
+def test_equal_rows_are_told_apart(spark):
+    """A share ends between rows equal in doc_id and text."""
+    data = [(7, "w " * 10, "a")] * 40 + [(None, "x " * 10, "b")] * 30 + [(i, "y", "b") for i in range(5)] + [(None, None, None)] * 3
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    sources = F.array("source")
+    plan = mix.mix(df, sources, lambda sizes, total: {"a": 333.0, "b": 472.0, None: 0.0}, docs_a_bucket=1)
+    for out in (plan.times_of(df, sources), plan.times_of(df.coalesce(1), sources)):
+        got = Counter()
+        for r in out.select("source", "text", "__times").collect():
+            got[r.source] += len((r.text or "").split()) * r["__times"]
+        assert abs(got["a"] - 333) <= 5 and abs(got["b"] - 472) <= 5
+
+
 def test_mix_of_overlapping_sources(spark):
     data = [(i, "word " * 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(90)]
     df = spark.createDataFrame(data, "doc_id long, text string, sources array<string>")
@@ -185,6 +214,11 @@ def test_mix_of_overlapping_sources(spark):
         got[source] += tokens
     assert got == {"a": 500, "b": 350}
     assert sum(r[0] for r in plan.times_of(df, F.col("sources")).select("__times").collect()) == pytest.approx(85, abs=2)
+    routed = Counter()
+    for r in mix.mixed(df, F.col("sources"), plan, routed="for").collect():
+        assert r["for"] in r.sources
+        routed[r["for"]] += 10
+    assert abs(routed["a"] - 500) <= 20 and abs(routed["b"] - 350) <= 20
 
 
 # -- 4 quality
@@ -217,19 +251,37 @@ def test_quality_of_awkward_rows(docs, empty, spark):
 # -- 5 top-k
 
 
+def brute_topk(v, k=10):
+    """Of rows (id, vector), ids divisible by 100 ask; each meets every row but its own."""
+    out = []
+    for i, (q, x) in enumerate(v):
+        if q is None or q % 100:
+            continue
+        cand = sorted((-sum(a * b for a, b in zip(x, y)), c) for j, (c, y) in enumerate(v) if c is not None and i != j)[:k]
+        out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(cand)]
+    return sorted(out, key=repr)
+
+
+def with_rows(spark, v):
+    return spark.createDataFrame([(i, x, n) for n, (i, x) in enumerate(v)], "id long, v array<long>, row long").withColumn("g", F.lit("mine"))
+
+
 def test_topk_equals_brute_force_with_ties_and_bad_rows(spark):
     rng = np.random.default_rng(2)
-    v = [(int(i), [int(x) for x in rng.integers(-3, 4, 6)]) for i in range(0, 900, 7)] + [(100, [0] * 6), (None, [1] * 6)]
+    v = [(int(i), [int(x) for x in rng.integers(-3, 4, 6)]) for i in range(0, 900, 7)] + [(100, [0] * 6), (None, [1] * 6), (700, [1] * 6), (700, [1] * 6)]
     v += [(1001, [1, 2, 3, 0, 0, 0]), (1002, [1, 2, 3, 0, 0, 0]), (1003, [5])]
-    df = spark.createDataFrame(v, "id long, v array<long>")
-    got = rows(topk.search(df, df.where("id % 100 = 0"), k=10, rows_a_block=17, queries_a_block=2))
-    want = []
-    for q, x in v:
-        if q is None or q % 100:
-            continue
-        cand = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in v if c is not None and c != q)[:10]
-        want += [(q, i + 1, c, -s) for i, (s, c) in enumerate(cand)]
-    assert got == sorted(want, key=repr)
+    df = with_rows(spark, v)
+    assert rows(topk.search(df, df.where("id % 100 = 0"), k=10, rows_a_block=17, queries_a_block=2)) == brute_topk(v)
+    assert topk.search(df.limit(0), df.limit(0)).count() == 0 and topk.search(df, df.limit(0)).count() == 0
+
+
+def test_topk_of_large_components(spark):
+    v = [(100, [2**40, 3, 0]), (1, [2**22, 7, 1]), (2, [-(2**22), 1, 1]), (3, [5, 5, 2**40])]
+    df = with_rows(spark, v)
+    assert rows(topk.search(df, df.where("id = 100"))) == brute_topk(v)
+    with pytest.raises(Exception, match="64 bits"):
+        big = with_rows(spark, [(100, [2**40]), (1, [2**40])])
+        topk.search(big, big.where("id = 100")).collect()
 
 
 def test_usable_and_quantised(spark):
