@@ -47,6 +47,17 @@ def test_slots_are_shuffled_and_written(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 400
 
 
+def test_hot_rows_spread_over_buckets(spark):
+    data = [(None, "same text " * 20, i % 2) for i in range(9000)] + [(i, f"text {i}", 0) for i in range(300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, other int")
+    out = shard.shuffle_into_shards(df, 3, bucket_bytes=100_000).collect()
+    assert Counter((r.doc_id, r.text, r.other) for r in out) == Counter(data)
+    by = defaultdict(list)
+    for r in out:
+        by[r["shard"]].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 # -- 2 repeated passages
 
 
@@ -240,6 +251,57 @@ def test_quality_model_orders_grades_and_holds_out(spark):
     assert all(1 >= r.tail[0] >= r.tail[1] >= 0 and abs(sum(r.tail) - r.expected_grade) < 1e-9 for r in out)
 
 
+def test_fit_is_the_maximum_of_the_penalised_likelihood():
+    """An independent likelihood: no small step from the fit betters it by much, and far ones lose."""
+    rng = np.random.default_rng(4)
+    rows_ = [np.sort(rng.choice(40, rng.integers(1, 12), replace=False)) for _ in range(300)]
+    grades = np.array([int(np.clip(round(sum(x < 10 for x in r) / 2 + rng.normal() * 0.5), 0, 2)) for r in rows_])
+    model = quality.fit(rows_, grades, 3, least_docs=1, rounds=3000, rate=0.05, ridge=1e-2)
+
+    def loss(w, theta):
+        total = 0.0
+        for r, g in zip(rows_, grades):
+            s = sum(w[list(model.ids).index(x)] for x in r)
+            upto = [0.0] + [1 / (1 + np.exp(-(t - s))) for t in theta] + [1.0]
+            total -= np.log(upto[g + 1] - upto[g])
+        return total / len(rows_) + 1e-2 * sum(x * x for x in w) / 2
+
+    best = loss(model.weights, model.thresholds)
+    for _ in range(12):
+        step = rng.normal(size=len(model.weights)) * 0.05
+        assert loss(model.weights + step, model.thresholds) > best - 1e-4
+        assert loss(model.weights, np.sort(model.thresholds + rng.normal(size=2) * 0.1)) > best - 1e-4
+    assert best < loss(np.zeros(len(model.weights)), model.thresholds) - 0.1
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    data = [(i, t) for i, t in enumerate(["alpha beta BETA!!", "gamma 42 ### delta", None, "", "  ", "alpha " * 5000 + "omega"])]
+    rated = [(i + 100, ("alpha beta" if i % 2 else "gamma delta ###") + f" x{i}") for i in range(200)]
+    df = spark.createDataFrame(data + rated, "doc_id long, text string")
+    model = quality.train(df, spark.createDataFrame([(i, 2 if (i % 2) else 0) for i, _ in rated], "doc_id long, grade int"), 3)
+    weight = dict(zip(model.ids.tolist(), model.weights.astype(np.float32).tolist()))
+    features = quality.Featurizer()
+    for r in quality.score(df, model).collect():
+        ids = features((r.text or "").encode()).tolist()
+        tails = [1 / (1 + np.exp(t - sum(weight.get(i, 0.0) for i in ids))) if ids else 0.0 for t in model.thresholds]
+        assert r.tail == pytest.approx(tails, abs=1e-5) and r.expected_grade == pytest.approx(sum(tails), abs=1e-5)
+
+
+def test_training_rows_are_bounded(spark):
+    df = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("word").alias("text")).union(
+        spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string"))
+    grades = spark.createDataFrame([(i, i % 3) for i in range(50)] * 3 + [(5, 0), (None, 1), (7, None)], "doc_id long, grade int")
+    seen = []
+    whole = quality.fit
+    try:
+        quality.fit = lambda rows_, grades_, *a, **k: seen.append(len(rows_)) or whole(rows_, grades_, *a, **k)
+        quality.train(df, grades, 3, max_train=20)
+        quality.train(df, grades, 3)
+    finally:
+        quality.fit = whole
+    assert seen == [20, 50]
+
+
 def test_quality_of_awkward_rows(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = quality.train(docs, none, 3)
