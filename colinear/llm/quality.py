@@ -136,14 +136,21 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int, max_train: int = 8
           **how) -> OrdinalModel:
     """Fits on at most ``max_train`` rated documents, chosen by a seeded hash of doc_id.
 
-    ``ratings(doc_id, grade int 0..n_grades-1)``; rows with a null are not used.  Only the
-    hashed features of that bounded sample reach the driver.
+    ``ratings(doc_id, grade int 0..n_grades-1)``; rows with a null are not used.  A doc_id counts once: with its
+    lowest grade, and of several texts with the one of least hash, so at most ``max_train`` rows of
+    hashed features reach the driver.  Without ratings or texts nothing is known against any text; other
+    columns aren't read.
     """
     sample = (
         ratings.select("doc_id", "grade").where("doc_id is not null and grade is not null")
-        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "grade").limit(max_train)
+        .groupBy("doc_id").agg(F.min("grade").alias("grade"))
+        .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_train)
+    )
+    rated = (
+        docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
+        .groupBy("doc_id", "grade").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+        .select("grade", F.col("t.text").alias("text"))
     )
-    rated = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     got = rated.select("grade", "text").mapInArrow(_rows(DIMENSIONS), "grade int, ids array<int>").toArrow().combine_chunks()
     grades = got["grade"].to_numpy().astype(np.int64)
     if not len(grades):
