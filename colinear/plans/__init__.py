@@ -6,3 +6,4 @@ from . import queries_matching  # noqa: F401
 from . import queries_graph  # noqa: F401
 from . import queries_stats  # noqa: F401
 from . import queries_joins  # noqa: F401
+from . import queries_io  # noqa: F401

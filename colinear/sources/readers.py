@@ -20,8 +20,13 @@ def fasta(spark: SparkSession, path: str, org: str | None = None) -> DataFrame:
     head = F.substring_index("value", "\n", 1)
     seq = F.regexp_replace(F.expr("substring(value, length(substring_index(value, '\n', 1)) + 1)"), r"\s", "")
     got = body.select("org", "at", F.regexp_extract(head, r"^\s*(\S+)", 1).alias("seqid"), seq.alias("seq"))
-    return got.withColumn("ordinal", (F.row_number().over(Window.partitionBy("org").orderBy("at")) - 1).cast("int")).select(
-        "org", "ordinal", "seqid", "seq", F.length("seq").cast("long").alias("length"))
+    # ids run on within a task, so counts by task tell every record's place without sorting sequences
+    task = F.shiftright("at", 33)
+    before = Window.partitionBy("org").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = body.groupBy("org", task.alias("task")).agg(F.count("*").alias("n"), F.min("at").alias("least")).select(
+        "org", "task", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return got.withColumn("task", task).join(bases, ["org", "task"]).select(
+        "org", (F.col("base") + F.col("at") - F.col("least")).cast("int").alias("ordinal"), "seqid", "seq", F.length("seq").cast("long").alias("length"))
 
 
 def chunks(sequences: DataFrame, size: int = 1 << 20, overlap: int = 1 << 10) -> DataFrame:
