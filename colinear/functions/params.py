@@ -24,9 +24,23 @@ def default_parameters(genomes: DataFrame, kind: str) -> DataFrame:
 
 
 def parameter_problems(params: DataFrame, known: DataFrame) -> DataFrame:
-    """``(org, severity, problem)``: unknown organism (warning), pitch not below window, percentages outside 0..100."""
-    checks = [("pitch not below window", F.col("pitch") >= F.col("window")), ("window not positive", F.col("window") <= 0)]
-    checks += [(f"{c} not within 0..100", ~F.col(c).between(0, 100)) for c in ("percentile", "y1", "y2") if c in params.columns]
+    """``(org, severity, problem)`` of a parameter table of any kind.
+
+    Errors: sizes that aren't positive, a pitch not below its window, a window shorter than k, percentages outside 0..100,
+    mismatches outside 0..4, flags other than 0 and 1, organisms named twice.  Warnings: organisms that aren't ``known``, and known
+    ones without parameters.
+    """
+    have = set(params.columns)
+    checks = [("pitch not below window", F.col("pitch") >= F.col("window"))]
+    checks += [(f"{c} not positive", F.col(c) <= 0) for c in ("window", "pitch", "k", "k1", "k2") if c in have]
+    checks += [(f"window shorter than {c}", F.col("window") < F.col(c)) for c in ("k", "k1", "k2") if c in have]
+    checks += [(f"{c} not within 0..100", ~F.col(c).between(0, 100)) for c in ("percentile", "y1", "y2") if c in have]
+    checks += [(f"{c} not within 0..4", ~F.col(c).between(0, 4)) for c in ("e", "e1", "e2") if c in have]
+    checks += [("flag not 0 or 1", ~F.col("flag").isin(0, 1))] if "flag" in have else []
     found = [params.where(cond).select("org", F.lit("error").alias("severity"), F.lit(name).alias("problem")) for name, cond in checks]
-    unknown = params.join(known.select("org").distinct(), "org", "left_anti").select("org", F.lit("warning").alias("severity"), F.lit("unknown organism").alias("problem"))
-    return reduce(DataFrame.unionByName, [*found, unknown])
+    note = lambda df, severity, problem: df.select("org", F.lit(severity).alias("severity"), F.lit(problem).alias("problem"))
+    orgs = known.select("org").distinct()
+    found += [
+        note(params.groupBy("org").count().where("count > 1"), "error", "repeated organism"),
+        note(params.join(orgs, "org", "left_anti"), "warning", "unknown organism"), note(orgs.join(params, "org", "left_anti"), "warning", "no parameters")]
+    return reduce(DataFrame.unionByName, found)

@@ -258,6 +258,16 @@ def assign_by_mass(hits: DataFrame, contig: str = "contig", target: str = "chrom
     return per.groupBy(contig).agg(F.min_by(F.struct(target, "mass"), F.struct(-F.col("mass"), F.col(target))).alias("t")).select(contig, "t.*")
 
 
+def order_along_reference(hits: DataFrame, contig: str = "contig", target: str = "chrom", pos: str = "pos") -> DataFrame:
+    """Contigs on the target with most of their hits, in the order of their middle hit there.
+
+    ``(target, contig, mass, at, position)``: ``at`` is the lower median of the hits' positions, ``position`` runs from 1.
+    """
+    placed = assign_by_mass(hits, contig, target, None)
+    at = hits.join(placed, [contig, target]).groupBy(target, contig, "mass").agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{pos}`)").cast("long").alias("at"))
+    return at.withColumn("position", F.row_number().over(Window.partitionBy(target).orderBy("at", contig)))
+
+
 def half_mass_positions(hits: DataFrame, contig: str = "contig", target: str = "chrom", pos: str = "pos", score: str = "score") -> DataFrame:
     """First position along a target at which a contig has gathered half of its score there."""
     key = [contig, target]

@@ -107,6 +107,16 @@ def differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
         actual.exceptAll(expected).withColumn("side", F.lit("actual")))
 
 
+def drop_reasons(matches: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(reason, n)``: why matches of all kinds aren't among the ``chosen`` ones of their pair."""
+    kept = chosen.select(*FULL, F.lit(True).alias("__kept"))
+    reason = (
+        F.when(F.col("__kept"), "kept").when(F.col("kind") == "not_considered", "not considered")
+        .when((F.col("kind") == "dup") & ~F.coalesce("syntenic", F.lit(False)), "duplication without synteny")
+        .otherwise("another match of the pair was chosen"))
+    return matches.join(kept, FULL, "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def confirmation_counts(hits: DataFrame) -> DataFrame:
     """``hits(forward boolean, backward boolean, overlap)`` -> counts by which directions confirm, with overlap statistics."""
     kind = F.when(F.col("forward") & F.col("backward"), "both").when(F.col("forward") | F.col("backward"), "one").otherwise("neither")

@@ -7,3 +7,4 @@ from . import queries_graph  # noqa: F401
 from . import queries_stats  # noqa: F401
 from . import queries_joins  # noqa: F401
 from . import queries_io  # noqa: F401
+from . import queries_more  # noqa: F401

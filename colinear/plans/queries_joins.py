@@ -93,8 +93,10 @@ def augmented(spark, d):
 
 
 @register("R52_sharing_position", """
-WITH e AS (SELECT l_orderkey AS m, l_linenumber AS pos, l_partkey AS element, l_suppkey % 4 AS species FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_partkey + 100000, l_partkey % 4 FROM lineitem)
-SELECT a.m, a.pos, a.element AS a, b.element AS b, 7.5::DOUBLE AS score FROM e a JOIN e b ON a.m = b.m AND a.pos = b.pos AND a.element < b.element AND a.species <> b.species""")
+WITH e AS MATERIALIZED (
+  SELECT l_orderkey * 100 + l_linenumber AS k, l_partkey AS element, l_suppkey % 4 AS species FROM lineitem
+  UNION ALL SELECT l_orderkey * 100 + l_linenumber, l_partkey + 100000, l_partkey % 4 FROM lineitem)
+SELECT k // 100 AS m, k % 100 AS pos, a.element AS a, b.element AS b, 7.5::DOUBLE AS score FROM e a JOIN e b USING (k) WHERE a.element < b.element AND a.species <> b.species""")
 def positions(spark, d):
     li = table(spark, d, "lineitem")
     one = li.select(F.col("l_orderkey").alias("m"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("element"), (F.col("l_suppkey") % 4).alias("species"))

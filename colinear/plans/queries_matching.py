@@ -169,8 +169,7 @@ def succinct(spark, d):
 
 
 @register("R23_mutual_canonical", f"""
-WITH {_TWO} SELECT a.org1, a.id1, a.org2, a.id2, a.score, b.score AS score_back
-FROM a JOIN a b ON b.org1 = a.org2 AND b.id1 = a.id2 AND b.org2 = a.org1 AND b.id2 = a.id1 WHERE a.org1 < a.org2""")
+WITH p AS ({SQL_PAIRS}) SELECT 'p' AS org1, part AS id1, 's' AS org2, supp AS id2, score, score AS score_back FROM p WHERE part % 5 <> 1 AND supp % 5 <> 2""")
 def mutual(spark, d):
     return mt.mutual(_two_sided(spark, d))
 
@@ -195,9 +194,9 @@ def raised(spark, d):
 
 
 @register("R26b_propagated_removal", f"""
-WITH {_TWO}, k AS (SELECT *, CASE WHEN (id1 + 3 * id2) % 11 = 0 AND org1 = 'p' THEN 'not_considered' ELSE 'regular' END AS kind FROM a)
-SELECT org1, id1, org2, id2, CASE WHEN kind = 'regular' AND EXISTS (SELECT 1 FROM k b WHERE b.kind = 'not_considered' AND b.org1 = k.org2 AND b.id1 = k.id2 AND b.org2 = k.org1 AND b.id2 = k.id1)
-  THEN 'not_considered' ELSE kind END AS kind FROM k""")
+WITH p AS (SELECT part, supp, (part + 3 * supp) % 11 = 0 AND part % 5 <> 1 AS told FROM ({SQL_PAIRS}))
+SELECT 'p' AS org1, part AS id1, 's' AS org2, supp AS id2, CASE WHEN told THEN 'not_considered' ELSE 'regular' END AS kind FROM p WHERE part % 5 <> 1
+UNION ALL SELECT 's', supp, 'p', part, CASE WHEN told THEN 'not_considered' ELSE 'regular' END FROM p WHERE supp % 5 <> 2""")
 def propagated(spark, d):
     m = _two_sided(spark, d).withColumn(
         "kind", F.when(((F.col("id1") + 3 * F.col("id2")) % 11 == 0) & (F.col("org1") == "p"), "not_considered").otherwise("regular"))

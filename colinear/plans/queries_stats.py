@@ -160,15 +160,16 @@ def _m(spark, d):
 
 
 @register("R26c_unreciprocated_matches", f"""
-WITH {_M} SELECT 'unreciprocated' AS "check", CASE WHEN kind = 'dup' AND NOT syntenic THEN 'warning' ELSE 'error' END AS severity,
-  org1 || ':' || id1 || ':' || org2 || ':' || id2 AS detail FROM m WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.org1 = m.org2 AND b.id1 = m.id2 AND b.org2 = m.org1 AND b.id2 = m.id1)""")
+WITH p AS (SELECT part, supp, (part + supp) % 7 <> 0 AS there, (part + supp) % 13 <> 0 AS back, CASE WHEN part % 5 = 0 AND part % 10 <> 0 THEN 'warning' ELSE 'error' END AS severity FROM ({SQL_PAIRS}))
+SELECT 'unreciprocated' AS "check", severity, 'p:' || part || ':s:' || supp AS detail FROM p WHERE there AND NOT back
+UNION ALL SELECT 'unreciprocated', severity, 's:' || supp || ':p:' || part FROM p WHERE back AND NOT there""")
 def unreciprocated(spark, d):
     return va.unreciprocated(_m(spark, d))
 
 
 @register("R26d_unequal_directions", f"""
-WITH {_M} SELECT 'unequal_directions' AS "check", 'error' AS severity, a.org1 || ':' || a.id1 || ':' || a.org2 || ':' || a.id2 AS detail
-FROM m a JOIN m b ON b.org1 = a.org2 AND b.id1 = a.id2 AND b.org2 = a.org1 AND b.id2 = a.id1 WHERE a.org1 < a.org2 AND round_even(a.score, 0) <> round_even(b.score, 0)""")
+WITH p AS (SELECT part, supp, score, score + CASE WHEN supp % 11 = 0 THEN 3 ELSE 0 END AS back FROM ({SQL_PAIRS}) WHERE (part + supp) % 7 <> 0 AND (part + supp) % 13 <> 0)
+SELECT 'unequal_directions' AS "check", 'error' AS severity, 'p:' || part || ':s:' || supp AS detail FROM p WHERE round_even(score, 0) <> round_even(back, 0)""")
 def unequal(spark, d):
     return va.unequal_scores(_m(spark, d))
 
