@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 Span = tuple[str, str]
 
 
@@ -131,7 +133,7 @@ def step_max(df: DataFrame, keys: Sequence[str], start: str = "start", end: str
     cover them in bins of ``width``, so a long island isn't a product of its rows.  Intervals of
     no length are skipped.
     """
-    own = island_ids(df.where(F.col(start) < F.col(end)), keys, start, end)
+    own = stored(island_ids(df.where(F.col(start) < F.col(end)).select(*keys, start, end, score), keys, start, end), "islands")
     group = [*keys, "island"]
     points = own.select(*group, F.explode(F.array(start, end)).alias("lo")).distinct()
     cuts = points.withColumn("hi", F.lead("lo").over(Window.partitionBy(*group).orderBy("lo"))).where("hi is not null")
@@ -151,16 +153,21 @@ def step_max(df: DataFrame, keys: Sequence[str], start: str = "start", end: str
 
 
 def fill_gaps(segments: DataFrame, bounds: DataFrame, keys: Sequence[str], default: float) -> DataFrame:
-    """``segments(lo, hi, score)`` with holes and both ends up to ``bounds(lo0, hi0)`` filled by ``default``."""
+    """``segments(lo, hi, score)`` with holes and both ends up to ``bounds(lo0, hi0)`` filled by ``default``.
+
+    Keys without segments are one hole; segments of keys without bounds stay as they are.  One pass over each table.
+    """
     order = Window.partitionBy(*keys).orderBy("lo")
-    own = segments.join(bounds, list(keys))
-    before = own.select(
-        *keys, F.coalesce(F.lag("hi").over(order), F.col("lo0")).alias("lo"), F.col("lo").alias("hi"))
-    last = own.groupBy(*keys).agg(F.max("hi").alias("lo"), F.first("hi0").alias("hi"))
-    empty = bounds.join(segments.select(*keys).distinct(), list(keys), "left_anti").select(
-        *keys, F.col("lo0").alias("lo"), F.col("hi0").alias("hi"))
-    filler = before.unionByName(last).unionByName(empty).where("lo < hi").withColumn("score", F.lit(float(default)))
-    return segments.select(*keys, "lo", "hi", "score").unionByName(filler)
+    own = segments.select(*keys, "lo", "hi", F.col("score").cast("double").alias("score")).join(bounds, list(keys), "full_outer")
+    own = own.withColumns({"__before": F.coalesce(F.lag("hi").over(order), F.col("lo0")), "__last": F.lead("lo").over(order).isNull()})
+    piece = lambda lo, hi, score: F.struct(lo.alias("lo"), hi.alias("hi"), score.alias("score"))
+    hole = F.lit(float(default))
+    lo, hi = F.col("lo"), F.col("hi")
+    made = F.array(
+        F.when(lo.isNotNull(), piece(lo, hi, F.col("score"))), F.when(F.col("__before") < lo, piece(F.col("__before"), lo, hole)),
+        F.when(F.col("__last") & (hi < F.col("hi0")), piece(hi, F.col("hi0"), hole)),
+        F.when(lo.isNull() & (F.col("lo0") < F.col("hi0")), piece(F.col("lo0"), F.col("hi0"), hole)))
+    return own.select(*keys, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("p")).select(*keys, "p.lo", "p.hi", "p.score")
 
 
 def range_max(segments: Column, start: Column, end: Column) -> Column:

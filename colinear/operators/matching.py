@@ -75,10 +75,18 @@ def not_reciprocated(matches: DataFrame) -> DataFrame:
 
 
 def flag_pairs(matches: DataFrame) -> DataFrame:
-    """``(org1, id1, org2, ambiguous)``: true if any match of the pair isn't reciprocated."""
-    bad = not_reciprocated(matches).select(*PAIR).distinct().withColumn("ambiguous", F.lit(True))
-    return matches.select(*PAIR).distinct().join(bad, PAIR, "left").withColumn(
-        "ambiguous", F.coalesce("ambiguous", F.lit(False)))
+    """``(org1, id1, org2, ambiguous)``: true if any match of the pair isn't reciprocated.
+
+    Both directions of a match meet in one group, whichever side comes first.
+    """
+    a, b = F.struct(F.col("org1").alias("org"), F.col("id1").alias("id")), F.struct(F.col("org2").alias("org"), F.col("id2").alias("id"))
+    met = matches.groupBy(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).agg(
+        F.bool_or(a <= b).alias("there"), F.bool_or(a >= b).alias("back"))
+    side = lambda f, t: F.struct(f["org"].alias("org1"), f["id"].alias("id1"), t["org"].alias("org2"))
+    x, y = F.col("x"), F.col("y")
+    sides = F.filter(F.array(F.when(F.col("there"), side(x, y)), F.when(F.col("back"), side(y, x))), lambda s: s.isNotNull())
+    return met.select(F.explode(sides).alias("s"), (~(F.col("there") & F.col("back"))).alias("odd")).groupBy("s").agg(
+        F.bool_or("odd").alias("ambiguous")).select("s.org1", "s.id1", "s.org2", "ambiguous")
 
 
 def mutual(chosen: DataFrame) -> DataFrame:
@@ -118,12 +126,13 @@ def raise_in_others(flags: DataFrame, matches: DataFrame) -> DataFrame:
 def order_flags(matches: DataFrame, keys: Sequence[str] = PAIR) -> DataFrame:
     """``different_strands, not_in_order``: mixed strands set both; else hits in their own anchor
     must follow the order of target ids (the reverse if inverted)."""
-    by = F.array_sort(F.collect_list(F.struct("own_start", "own_end", "id2")))
-    got = matches.groupBy(*keys).agg(
-        by.alias("hits"), (F.min("inverted") != F.max("inverted")).alias("different_strands"), F.max("inverted").alias("inv"))
-    ids = F.transform("hits", lambda h: h["id2"])
-    want = F.when(F.col("inv"), F.reverse(F.array_sort(ids))).otherwise(F.array_sort(ids))
-    return got.select(*keys, "different_strands", (F.col("different_strands") | (ids != want)).alias("not_in_order"))
+    order = Window.partitionBy(*keys).orderBy("own_start", "own_end", "id2")
+    last = F.lag("id2").over(order)
+    steps = matches.select(*keys, "inverted", F.coalesce(F.col("id2") < last, F.lit(False)).alias("down"), F.coalesce(F.col("id2") > last, F.lit(False)).alias("up"))
+    return steps.groupBy(*keys).agg(
+        (F.min("inverted") != F.max("inverted")).alias("different_strands"),
+        F.when(F.max("inverted"), F.max("up")).otherwise(F.max("down")).alias("odd"),
+    ).select(*keys, "different_strands", (F.col("different_strands") | F.col("odd")).alias("not_in_order"))
 
 
 def refilter(matches: DataFrame, flags: DataFrame, strict: Column) -> DataFrame:

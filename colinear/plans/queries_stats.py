@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as nm, sequences as sq
 from ..operators import delta as dl, stats as st, validate as va
+from ..storage import stored
 from .analogues import SQL_PAIRS, pairs, table
 from .catalogue import register
 
@@ -180,7 +181,7 @@ d AS (SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'P')
 SELECT org1, id1, org2, id2 FROM m WHERE NOT (org1 = 'o' AND id1 IN (SELECT id FROM d)) AND NOT (org2 = 'o' AND id2 IN (SELECT id FROM d))""")
 def tombstones(spark, d):
     li = table(spark, d, "lineitem").select(F.lit("o").alias("org1"), F.col("l_orderkey").alias("id1"), F.lit("p").alias("org2"), F.col("l_partkey").alias("id2")).distinct()
-    m = li.union(li.select("org2", "id2", "org1", "id1"))
+    m = stored(li.union(li.select("org2", "id2", "org1", "id1")), "matches")
     gone = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.lit("o").alias("org"), F.col("o_orderkey").alias("id"))
     return dl.apply_tombstones(m, dl.tombstones(gone, m), gone)
 
