@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small, stored
+from .common import partitions, small, spread_join, stored
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,14 +84,14 @@ def _contexts(k: int, least: int, rows_a_batch: int = 4096):
     A very long text is written in parts of ``rows_a_batch`` positions.
     """
     reach = least - k  # a run of ``least`` words around a k-gram goes this far left at most
-    names = ["seed", "text_key", "pos", "right", "left"]
+    names = ["seed", "text_key", "pos", "low", "high", "right", "left"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
 
             def batch() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary()]
                 made = pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds)], names=names)
                 for o in out:
                     o.clear()
@@ -100,15 +100,23 @@ def _contexts(k: int, least: int, rows_a_batch: int = 4096):
             for key, text, chosen in zip(b.column(0), b.column(1).cast(pa.binary()), b.column(2)):
                 words = word_codes(text.as_py())
                 every = np.sort(np.array(chosen.as_py(), np.int64))
-                seeds = grams(words, k)[every]
+                h = grams(words, k)
+                none = np.full(reach, np.iinfo(np.uint64).max)
+                around = np.concatenate([none, h, none])
                 codes = np.maximum((words >> np.uint64(32)).astype(np.uint32), np.uint32(1))  # 0 is padding
                 padded = np.concatenate([np.zeros(reach, np.uint32), codes, np.zeros(least, np.uint32)])
                 for at in range(0, len(every), rows_a_batch):
                     pos = every[at : at + rows_a_batch]
                     rows = padded[pos[:, None] + np.arange(reach + least)[None, :]]
                     right, left = rows[:, reach:], rows[:, :reach][:, ::-1]
+                    # the runs of ``least`` words of which this is the minimiser begin ``low`` to ``high`` words before it
+                    near = around[pos[:, None] + np.arange(2 * reach + 1)[None, :]]
+                    less = np.concatenate([near[:, :reach][:, ::-1] < h[pos][:, None], np.ones((len(pos), 1), bool)], axis=1)
+                    more = np.concatenate([near[:, reach + 1 :] <= h[pos][:, None], np.ones((len(pos), 1), bool)], axis=1)
+                    high = np.minimum(less.argmax(axis=1), pos)
+                    low = np.maximum(reach - more.argmax(axis=1), reach - (len(h) - 1 - pos))
                     for o, x in zip(out, (
-                            seeds[at : at + rows_a_batch].view(np.int64).tolist(), [key.as_py()] * len(pos), pos.tolist(),
+                            h[pos].view(np.int64).tolist(), [key.as_py()] * len(pos), pos.tolist(), np.maximum(low, 0).tolist(), high.tolist(),
                             [r.tobytes() for r in np.ascontiguousarray(right.byteswap())],
                             [r.tobytes() for r in np.ascontiguousarray(left.byteswap())])):
                         o += x
@@ -130,43 +138,52 @@ def _grid(rows: pa.Table, name: str) -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(name).to_pylist()), ">u4").reshape(len(rows), -1)
 
 
-_CONTEXT = ("seed", "text_key", "pos", "right", "left")
+_PLAIN = ("seed", "c", "low", "high", "a", "z")
+_CONTEXT = (*_PLAIN, "right", "left")
 _REACH = ("far", "r", "l")
 
 
 def _neighbours(least: int, by: str, edges: bool):
-    """Sorted suffixes -> what each shares with the nearest suffixes of another text on both sides.
+    """Sorted suffix classes -> what each shares with the nearest ones of another text on both sides.
 
-    ``far`` is the longest common run of words in the direction of the sort, which no suffix of another
-    text exceeds; ``r`` and ``l`` are the farthest ends of matches of ``least`` words or more.  The last
-    run of rows of one text is held until a row of another text follows.  With ``edges``, the first
+    A class is what has the same words around it; ``a`` and ``z`` are its least and greatest text.  A class of several texts
+    shares all its words.  ``far`` is the longest common run of words in the direction of the sort, which no
+    suffix of another text exceeds; ``r`` and ``l`` are the farthest ends of matches of ``least`` words or more.  The last
+    run of classes of one text is held until a class of another text follows.  With ``edges``, the first
     and the last run of a task go on as rows with contexts, for the joint between tasks.
     """
+
     def compare(rows: pa.Table, starts: np.ndarray, run: np.ndarray, a: int, z: int) -> pa.RecordBatch:
         seed = rows.column("seed").to_numpy()
+        several = rows.column("a").to_numpy() != rows.column("z").to_numpy()
         grids = {c: _grid(rows, c) for c in ("right", "left")}
         own = np.arange(a, z)
         out = {c: np.zeros(z - a, np.int32) for c in _REACH}
-        for other, there in ((starts[run[own]] - 1, starts[run[own]] > 0),
-                             (np.r_[starts[1:], len(seed)][run[own]], np.r_[starts[1:], len(seed)][run[own]] < len(seed))):
+
+        def found(at: np.ndarray, r: np.ndarray, l: np.ndarray) -> None:  # noqa: E741
+            out["far"][at] = np.maximum(out["far"][at], r if by == "right" else l)
+            ok = r + l >= least
+            out["r"][at[ok]] = np.maximum(out["r"][at[ok]], r[ok])
+            out["l"][at[ok]] = np.maximum(out["l"][at[ok]], l[ok])
+
+        whole = own[several[a:z]]
+        found(whole - a, *((grids[c][whole] != 0).sum(axis=1).astype(np.int32) for c in ("right", "left")))
+        before, after = starts[run[own]] - 1, np.r_[starts[1:], len(seed)][run[own]]
+        for other, there in ((before, before >= 0), (after, after < len(seed))):
+            there = there & ~several[a:z]
             x, y = own[there], other[there]
             same = seed[x] == seed[y]
             x, y = x[same], y[same]
-            r, l = (_common(grids[c][x], grids[c][y]).astype(np.int32) for c in ("right", "left"))  # noqa: E741
-            at = x - a
-            np.maximum.at(out["far"], at, r if by == "right" else l)
-            ok = r + l >= least
-            np.maximum.at(out["r"], at[ok], r[ok])
-            np.maximum.at(out["l"], at[ok], l[ok])
+            found(x - a, *(_common(grids[c][x], grids[c][y]).astype(np.int32) for c in ("right", "left")))
         part = rows.slice(a, z - a)
-        columns = [part.column(c).combine_chunks() for c in _CONTEXT[:3]] + [pa.array(out[c]) for c in _REACH]
+        columns = [part.column(c).combine_chunks() for c in _PLAIN] + [pa.array(out[c]) for c in _REACH]
         columns += [pa.nulls(z - a, pa.binary())] * 2 if edges else []
-        return pa.RecordBatch.from_arrays(columns, names=[*_CONTEXT[:3], *_REACH, *(_CONTEXT[3:] if edges else ())])
+        return pa.RecordBatch.from_arrays(columns, names=[*_PLAIN, *_REACH, *(_CONTEXT[-2:] if edges else ())])
 
     def edge(rows: pa.Table) -> pa.RecordBatch:
         own = [rows.column(c).combine_chunks() for c in _CONTEXT]
         return pa.RecordBatch.from_arrays(
-            [*own[:3], *[pa.nulls(len(rows), pa.int32())] * 3, *own[3:]], names=[*_CONTEXT[:3], *_REACH, *_CONTEXT[3:]])
+            [*own[:-2], *[pa.nulls(len(rows), pa.int32())] * 3, *own[-2:]], names=[*_PLAIN, *_REACH, *_CONTEXT[-2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known, head = None, 0, not edges  # ``known``: leading rows of ``held`` that are done with
@@ -175,8 +192,9 @@ def _neighbours(least: int, by: str, edges: bool):
             for at in range(0, b.num_rows, 20_000):
                 rows = pa.Table.from_batches([b.slice(at, 20_000)]).select(list(_CONTEXT))
                 rows = rows if held is None else pa.concat_tables([held, rows])
-                seed, key = rows.column("seed").to_numpy(), rows.column("text_key").to_numpy()
-                new = np.r_[True, (seed[1:] != seed[:-1]) | (key[1:] != key[:-1])]
+                seed, least_text, last_text = (rows.column(c).to_numpy() for c in ("seed", "a", "z"))
+                several = least_text != last_text
+                new = np.r_[True, (seed[1:] != seed[:-1]) | (least_text[1:] != least_text[:-1]) | several[1:] | several[:-1]]
                 starts, number = np.flatnonzero(new), np.cumsum(new) - 1
                 last = int(starts[-1])
                 if not head and len(starts) > 1:
@@ -195,13 +213,13 @@ def _neighbours(least: int, by: str, edges: bool):
     return run
 
 
-def _beside(contexts: DataFrame, by: str, least: int) -> DataFrame:
-    """``(text_key, pos, seed, far, r, l)`` by the order of the words to the right or to the left."""
-    n = partitions(contexts.sparkSession)
-    order = ["seed", by, "left" if by == "right" else "right", "text_key", "pos"]
-    form = "seed long, text_key long, pos int, far int, r int, l int"
+def _beside(classes: DataFrame, by: str, least: int) -> DataFrame:
+    """``(seed, c, low, high, far, r, l)`` by the order of the words to the right or to the left."""
+    n = partitions(classes.sparkSession)
+    order = ["seed", by, "left" if by == "right" else "right", "c"]
+    form = "seed long, c long, low int, high int, a long, z long, far int, r int, l int"
     found = stored(
-        contexts.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*_CONTEXT)
+        classes.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*_CONTEXT)
         .mapInArrow(_neighbours(least, by, True), f"{form}, right binary, left binary"), "beside")
     # the first and last run of each task meet by seed
     seams = found.where("right is not null").select(*_CONTEXT).distinct().repartition(n, "seed").sortWithinPartitions(*order)
@@ -210,18 +228,18 @@ def _beside(contexts: DataFrame, by: str, least: int) -> DataFrame:
 
 
 def _windows(least: int, k: int):
-    """Contexts with a range of offsets -> the hash of each asked run of ``least`` words around the seed."""
+    """Classes with a range of offsets -> the hash of each asked run of ``least`` words around the seed."""
     reach = least - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        power = [np.uint64(1)]
+        power = np.uint64(1)
         with np.errstate(over="ignore"):
             for _ in range(least):
-                power.append(power[-1] * _ODD)
+                power = power * _ODD
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 rows = pa.Table.from_batches([b.slice(at, 4096)])
-                seed, key, pos, low, high, mask = (rows.column(c).to_numpy() for c in ("seed", "text_key", "pos", "low", "high", "mask"))
+                seed, c, a, z, low, high, mask, mine = (rows.column(x).to_numpy() for x in ("seed", "c", "a", "z", "low", "high", "mask", "mine"))
                 words = np.concatenate([_grid(rows, "left")[:, ::-1], _grid(rows, "right")], axis=1).astype(np.uint64)
                 out = []
                 with np.errstate(over="ignore"):
@@ -230,10 +248,10 @@ def _windows(least: int, k: int):
                         upto[:, i + 1] = upto[:, i] * _ODD + _mix(column + _ODD)
                     for j in range(reach + 1):
                         own = np.flatnonzero((low <= j) & (j <= high) & (mask >> j & 1 == 1))
-                        h = _mix(upto[own, reach - j + least] - upto[own, reach - j] * power[least])
-                        out.append((seed[own], np.full(len(own), j, np.int32), h.view(np.int64), key[own], pos[own]))
+                        h = _mix(upto[own, reach - j + least] - upto[own, reach - j] * power)
+                        out.append((seed[own], np.full(len(own), j, np.int32), h.view(np.int64), c[own], a[own], z[own], mine[own] >> j & 1 == 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c)) for c in zip(*out)], names=["seed", "j", "h", "text_key", "pos"])
+                    [pa.array(np.concatenate(x)) for x in zip(*out)], names=["seed", "j", "h", "c", "a", "z", "asks"])
 
     return run
 
@@ -243,21 +261,22 @@ def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> Dat
 
     Texts count once each, by ``text_key`` = xxhash64(text) (whole copies: see ``repeats``).  Suffixes
     are kept at the minimisers of ``gram``-word hashes over windows that make every passage of
-    ``least_words`` words hold one; those whose gram only one text has are done with.  The
-    rest are sorted by the words to the right and once more by the words to the left; each is compared with the
-    nearest one of another text on both sides and the match extended left and right.
+    ``least_words`` words hold one; those whose gram only one text has are done with.  What has
+    the same words around it is one class.  Classes are sorted by the words to the right and once more by the words to the left;
+    each is compared with the nearest one of another text on both sides and the match extended left and right.
 
-    A suffix is settled if no other text can share more than its neighbours do: the longest match to the right
+    A class is settled if no other text can share more than its neighbours do: the longest match to the right
     and the one to the left are both part of matches of ``least_words``, or together too short for one.  What isn't
-    settled (a partner may be next in neither order) is refined within its seed: all suffixes of the seed name
-    the runs of ``least_words`` words at the offsets asked for, and runs that two texts have are matches.  So no
+    settled (a partner may be next in neither order) is refined within its seed: it asks for the runs of
+    ``least_words`` words at the offsets that are open, all classes of the seed name theirs, and runs that two texts have
+    are matches.  Each run is asked for at its own minimiser only.  So no
     shared passage is lost.  A match longer than the context around one seed holds further seeds; overlapping
     matches of a text unite, which extends each passage to its true ends.
 
-    A hot seed is sorted over many tasks; its windows are counted by partial aggregation.  Memory: the
-    positions of one text with one gram that follow each other in the order.
+    A hot passage is one class; a hot seed is sorted over many tasks and its runs are counted by partial
+    aggregation.  Memory: the classes of one text with one gram that follow each other in the order.
     """
-    w, reach = least_words - gram + 1, least_words - gram
+    w = least_words - gram + 1
     own = docs.where("text is not null").select(F.xxhash64("text").alias("text_key"), "text")
     seeds = stored(own.mapInArrow(_seeds(gram, w), "seed long, text_key long, pos int"), "seeds")
     shared = seeds.groupBy("seed").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a <> z")
@@ -268,36 +287,43 @@ def repeated_spans(docs: DataFrame, least_words: int = 50, gram: int = 8) -> Dat
     chosen = own.dropDuplicates(["text_key"]).join(places, "text_key").select("text_key", "text", "places")
     contexts = stored(chosen.mapInArrow(
         _contexts(gram, least_words),
-        "seed long, text_key long, pos int, right binary, left binary"), "contexts")
+        "seed long, text_key long, pos int, low int, high int, right binary, left binary").withColumn("c", F.xxhash64("right", "left")), "contexts")
+    classes = stored(
+        contexts.groupBy("seed", "c", "low", "high", "right", "left").agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")), "classes")
+    key = ["seed", "c"]
     none = F.lit(0).alias
-    to_right, to_left = (_beside(contexts, by, least_words) for by in ("right", "left"))
+    to_right, to_left = (_beside(classes, by, least_words) for by in ("right", "left"))
     reached = stored(
-        to_right.select("text_key", "pos", "seed", F.col("far").alias("fr"), none("fl"), "r", "l")
-        .union(to_left.select("text_key", "pos", "seed", none("fr"), F.col("far").alias("fl"), "r", "l"))
-        .groupBy("text_key", "pos").agg(*[F.max(c).alias(c) for c in ("seed", "fr", "fl", "r", "l")]), "reached")
-    open_ = reached.where((F.col("fr") + F.col("fl") >= least_words) & ((F.col("r") < F.col("fr")) | (F.col("l") < F.col("fl"))))
-    offsets = F.sequence(F.greatest(F.lit(0), least_words - F.col("fr")), F.least(F.lit(reach), F.col("fl")))
-    asked = F.filter(offsets, lambda j: (j > F.col("l")) | (least_words - j > F.col("r")))
+        to_right.select(*key, "low", "high", F.col("far").alias("fr"), none("fl"), "r", "l")
+        .union(to_left.select(*key, "low", "high", none("fr"), F.col("far").alias("fl"), "r", "l"))
+        .groupBy(*key).agg(*[F.max(x).alias(x) for x in ("low", "high", "fr", "fl", "r", "l")]), "reached")
+    first, last = F.greatest("low", least_words - F.col("fr")), F.least("high", "fl")
+    asked = F.when(first <= last, F.filter(F.sequence(first, last), lambda j: (j > F.col("l")) | (least_words - j > F.col("r"))))
     mask = F.aggregate(asked, F.lit(0).cast("long"), lambda m, j: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), j)))
-    masks = stored(open_.select("seed", mask.alias("mask")).where("mask <> 0").groupBy("seed").agg(F.bit_or("mask").alias("mask")), "asked")
-    bounds = stored(reached.where(F.col("fr") + F.col("fl") >= least_words).join(
-        small(masks, masks.count(), 16), "seed").select(
-        "text_key", "pos", "mask", F.greatest(F.lit(0), least_words - F.col("fr")).alias("low"), F.least(F.lit(reach), F.col("fl")).alias("high")), "bounds")
+    bounded = reached.where(first <= last).select(*key, first.alias("low"), last.alias("high"), F.coalesce(mask, F.lit(0)).cast("long").alias("mine"))
+    masks = stored(bounded.where("mine <> 0").groupBy("seed").agg(F.bit_or("mine").alias("mask")), "asked")
+    bounds = stored(bounded.join(small(masks, masks.count(), 16), "seed"), "bounds")
     windows = stored(
-        contexts.join(small(bounds, bounds.count(), 28), ["text_key", "pos"]).select(*_CONTEXT, "low", "high", "mask")
-        .mapInArrow(_windows(least_words, gram), "seed long, j int, h long, text_key long, pos int"), "windows")
-    key = ["seed", "j", "h"]
-    twice = stored(windows.groupBy(*key).agg(F.min("text_key").alias("a"), F.max("text_key").alias("z")).where("a <> z").select(*key), "twice")
-    refined = windows.join(twice, key, "left_semi").select(
-        "text_key", (F.col("pos") - F.col("j")).alias("start"), (F.col("pos") - F.col("j") + least_words).alias("end"))
-    spans = reached.where("r > 0").select(
-        "text_key", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")).union(refined).distinct()
+        classes.drop("low", "high").join(small(bounds, bounds.count(), 40), key)
+        .select("seed", "c", "a", "z", "right", "left", "low", "high", "mask", "mine")
+        .mapInArrow(_windows(least_words, gram), "seed long, j int, h long, c long, a long, z long, asks boolean"), "windows")
+    run = ["seed", "j", "h"]
+    twice = stored(
+        windows.groupBy(*run).agg(F.min("a").alias("a"), F.max("z").alias("z"), F.bool_or("asks").alias("asks"))
+        .where("asks and a <> z").select(*run), "twice")
+    refined = windows.where("asks").join(twice, run, "left_semi").groupBy(*key).agg(
+        F.max("j").alias("more_l"), F.max(least_words - F.col("j")).alias("more_r"))
+    spans = stored(
+        reached.join(refined, key, "left").select(
+            *key, F.greatest("r", F.coalesce("more_r", F.lit(0))).alias("r"), F.greatest("l", F.coalesce("more_l", F.lit(0))).alias("l")).where("r > 0"), "spans")
+    placed = spread_join(contexts.select("text_key", "pos", *key), spans, key, spans.count(), 24)
+    each = placed.select("text_key", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end")).distinct()
     order = Window.partitionBy("text_key").orderBy("start", "end")
     upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.coalesce(upto < F.col("start"), F.lit(True)), 1).otherwise(0)
-    run = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    run_ = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        spans.withColumn("new", new).withColumn("run", run).groupBy("text_key", "run")
+        each.withColumn("new", new).withColumn("run", run_).groupBy("text_key", "run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
     )
 
