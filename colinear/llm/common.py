@@ -36,7 +36,7 @@ def small(df: DataFrame, rows: int, row_bytes: int, limit: int | None = None) ->
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], rows: int, row_bytes: int, how: str = "inner",
-                limit: int | None = None, salt: list[str] | None = None, salts: int = 32) -> DataFrame:
+                limit: int | None = None, salt: list[str] | None = None, salts: int = 8) -> DataFrame:
     """Join on ``on`` where ``left`` may have hot keys: ``right`` (``rows`` counted) is broadcast if small.
 
     Else the rows of ``left`` are salted by the columns ``salt`` (all, if none are named) and ``right`` is there
