@@ -3,8 +3,13 @@ organism or contig end, never data-sized."""
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import math
 import re
 
+import numpy as np
+
 Matrix = dict[tuple[str, str], float]
 
 
@@ -115,36 +120,114 @@ def greedy_order(names: list[str], coverage: Matrix, first: str | None = None) -
     return out
 
 
-def perfect_matching(nodes: list[str], weight: Matrix, exact_up_to: int = 20) -> tuple[list[tuple[str, str]], bool]:
-    """Perfect matching of least weight and whether it is exact: all subsets up to
-    ``exact_up_to`` nodes, beyond that the cheapest edge first."""
+def _assignment(cost: np.ndarray) -> tuple[np.ndarray, float]:
+    """Column of each row in the assignment of least cost, by shortest augmenting paths."""
+    n = len(cost)
+    row_of, u, v = np.full(n + 1, -1), np.zeros(n + 1), np.zeros(n + 1)
+    for i in range(n):
+        row_of[n], j = i, n
+        least, way, done = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while row_of[j] >= 0:
+            done[j] = True
+            open_ = ~done[:n]
+            step = cost[row_of[j]] - u[row_of[j]] - v[:n]
+            better = open_ & (step < least)
+            least[better], way[better] = step[better], j
+            at = np.where(open_, least, np.inf)
+            j = int(at.argmin())
+            delta = at[j]
+            if not np.isfinite(delta):
+                return np.full(n, -1), math.inf
+            u[row_of[np.flatnonzero(done)]] += delta
+            v[np.flatnonzero(done)] -= delta
+            least[open_] -= delta
+        while j != n:
+            row_of[j] = row_of[way[j]]
+            j = int(way[j])
+    out = np.empty(n, int)
+    out[row_of[:n]] = np.arange(n)
+    return out, float(cost[np.arange(n), out].sum())
+
+
+def _cheapest_pairs(cost: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of least cost that leave no node over; a finite ``cost[i, i]`` lets i stay alone.
+
+    Half the cheapest assignment is a lower bound, and exact if its cycles are even: each is cut into the better of
+    its two matchings.  An odd cycle is branched on: one of its edges is taken or forbidden, the
+    cheapest bound first.
+    """
+    order = itertools.count()
+    heap: list[tuple[float, int, float, tuple, np.ndarray, np.ndarray]] = []
+
+    def add(own: float, pairs: tuple, left: np.ndarray, cost: np.ndarray) -> None:
+        to, total = _assignment(cost[np.ix_(left, left)])
+        if math.isfinite(total):
+            heapq.heappush(heap, (own + total / 2, next(order), own, pairs, left, cost, to))
+
+    add(0.0, (), np.arange(len(cost)), cost)
+    while heap:
+        _, _, own, pairs, left, cost, to = heapq.heappop(heap)
+        seen, found, odd = np.zeros(len(left), bool), [], None
+        for i in range(len(left)):
+            if seen[i]:
+                continue
+            cycle = [i]
+            while (j := int(to[cycle[-1]])) != i:
+                cycle.append(j)
+            seen[cycle] = True
+            edges = [(int(left[a]), int(left[b])) for a, b in zip(cycle, cycle[1:] + cycle[:1])]
+            if len(cycle) == 1:
+                continue
+            if len(cycle) % 2:
+                odd = min([odd, edges] if odd else [edges], key=len)
+            else:
+                halves = edges[::2], edges[1::2]
+                found += min(halves, key=lambda h: sum(cost[e] for e in h))
+        if odd is None:
+            return [*pairs, *found]
+        a, b = odd[0]
+        add(own + cost[a, b], (*pairs, (a, b)), left[(left != a) & (left != b)], cost)
+        barred = cost.copy()
+        barred[a, b] = barred[b, a] = math.inf
+        add(own, pairs, left, barred)
+    raise ValueError("no perfect matching")
+
+
+def perfect_matching(nodes: list[str], weight: Matrix) -> list[tuple[str, str]]:
+    """Perfect matching of least weight (pairs without a weight have 0); exact at every size.
+
+    Where no weight is above 0 each connected part of the weighted pairs is solved for itself, nodes that no
+    weighted pair takes are paired in order.
+    """
     nodes = sorted(nodes)
     if len(nodes) % 2:
         raise ValueError("an odd number of nodes has no perfect matching")
     w = lambda a, b: weight.get((a, b), weight.get((b, a), 0.0))
-    n = len(nodes)
-    if n <= exact_up_to:
-        best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-        for done in range(1 << n):
-            if done not in best:
-                continue
-            i = next((x for x in range(n) if not done >> x & 1), None)
-            if i is None:
-                continue
-            cost, pairs = best[done]
-            for j in range(i + 1, n):
-                if not done >> j & 1:
-                    to = done | 1 << i | 1 << j
-                    new = cost + w(nodes[i], nodes[j])
-                    if to not in best or new < best[to][0]:
-                        best[to] = (new, (*pairs, (nodes[i], nodes[j])))
-        return list(best[(1 << n) - 1][1]), True
-    left, out = set(nodes), []
-    for _, a, b in sorted((w(a, b), a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :]):
-        if a in left and b in left:
-            out.append((a, b))
-            left -= {a, b}
-    return out, False
+    pairs = {(min(p), max(p)) for p, x in weight.items() if x and p[0] != p[1]}
+    if any(w(*p) > 0 for p in pairs):
+        cost = np.array([[math.inf if a == b else w(a, b) for b in nodes] for a in nodes], float)
+        return sorted((nodes[min(e)], nodes[max(e)]) for e in _cheapest_pairs(cost))
+    near: dict[str, set[str]] = {a: set() for a in nodes}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    out, seen = [], set()
+    for start in nodes:
+        if start in seen or not near[start]:
+            continue
+        part, todo = [], [start]
+        seen.add(start)
+        while todo:
+            part.append(todo.pop())
+            new = near[part[-1]] - seen
+            seen |= new
+            todo += sorted(new)
+        part.sort()
+        cost = np.array([[0.0 if a == b else w(a, b) if b in near[a] else math.inf for b in part] for a in part], float)
+        out += [(part[min(e)], part[max(e)]) for e in _cheapest_pairs(cost)]
+    taken = {x for p in out for x in p}
+    alone = [a for a in nodes if a not in taken]
+    return sorted([*out, *zip(alone[::2], alone[1::2])])
 
 
 def scaffold_paths(matching: list[tuple[str, str]], weight: Matrix) -> list[list[tuple[str, str]]]:
