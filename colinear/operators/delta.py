@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .matching import PAIR
@@ -45,3 +45,45 @@ def self_score_missing(candidates: DataFrame, hits: DataFrame, factor: float = 2
     """Candidates not found in their own genome get the score 2 x length."""
     return candidates.join(hits.select("org", "anchor_id").distinct(), ["org", "anchor_id"], "left_anti").withColumn(
         "score", factor * (F.col("end") - F.col("start")))
+
+
+# -- failed tasks -----------------------------------------------------------------------------
+
+#: Return codes of the alignment and the chaining tool that mean a lack of memory, and the code of a time-out (fixed values).
+MEMORY_CODES = {"blast": (3, 4), "clasp": (255,)}
+TIMEOUT_CODE = -99
+
+
+def outcome(tool: Column, code: Column) -> Column:
+    """``ok``, ``timeout``, ``memory``, ``killed`` (by a signal) or ``fatal``: all but the first and the last are worth a retry."""
+    memory = F.lit(False)
+    for name, codes in MEMORY_CODES.items():
+        memory = memory | ((tool == name) & code.isin(*codes))
+    return (
+        F.when(code == 0, "ok").when(code == TIMEOUT_CODE, "timeout").when(memory, "memory").when(code < 0, "killed").otherwise("fatal"))
+
+
+def retry_chunks(tasks: DataFrame, own_parts: int = 100) -> DataFrame:
+    """Chunks for the retryable of ``tasks(task_id, n, self_alignment, tool, code)``: ``(task_id, chunk, first, last)``.
+
+    A self alignment of n sequences is cut into chunks of n / ``own_parts`` (at least 1), a pairwise one into single sequences.
+    """
+    again = tasks.where(outcome(F.col("tool"), F.col("code")).isin("timeout", "memory", "killed") & (F.col("n") > 0))
+    size = F.when(F.col("self_alignment"), F.greatest(F.floor(F.col("n") / own_parts), F.lit(1))).otherwise(1).cast("long")
+    cut = again.withColumn("__size", size).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("__size")))))
+    first = F.col("chunk") * F.col("__size")
+    return cut.select("task_id", "chunk", first.alias("first"), (F.least(first + F.col("__size"), F.col("n")) - 1).alias("last"))
+
+
+def replace_by_windows(parents: DataFrame, windows: DataFrame) -> DataFrame:
+    """Parents ``(org, start, end, ok)`` after their retry as ``windows(org, parent_start, start, end, ok)``.
+
+    A parent that succeeded stays.  One that didn't is replaced by those of its windows that did, in both strands alike, and stays
+    with ``status`` failed if none did.  ``(org, start, end, status)``.
+    """
+    done = windows.where("ok").select("org", "parent_start", F.col("start").alias("w0"), F.col("end").alias("w1"))
+    j = parents.withColumn("parent_start", F.col("start")).join(done, ["org", "parent_start"], "left")
+    kept = j.where("ok").select("org", "start", "end", F.lit("kept").alias("status")).distinct()
+    cut = j.where("not ok and w0 is not null").select("org", F.col("w0").alias("start"), F.col("w1").alias("end"), F.lit("window").alias("status"))
+    lost = j.where("not ok and w0 is null").select("org", "start", "end", F.lit("failed").alias("status"))
+    return kept.unionByName(cut).unionByName(lost)

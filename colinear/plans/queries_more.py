@@ -267,3 +267,48 @@ SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) AS start, greatest(
 def oriented(spark, d):
     s, e, strand = jn.oriented(F.col("l_partkey"), F.col("l_suppkey"))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", s.alias("start"), e.alias("end"), strand.alias("strand"))
+
+
+# -- failed tasks
+
+_CODE = "CASE o_orderkey % 7 WHEN 0 THEN 0 WHEN 1 THEN -99 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 255 WHEN 5 THEN -9 ELSE 1 END"
+
+
+def _tasks(spark, d):
+    k = F.col("o_orderkey") % 7
+    code = F.when(k == 0, 0).when(k == 1, -99).when(k == 2, 3).when(k == 3, 4).when(k == 4, 255).when(k == 5, -9).otherwise(1)
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 230).alias("n"), (F.col("o_orderstatus") == "F").alias("self_alignment"),
+        F.when(F.col("o_orderkey") % 2 == 0, "blast").otherwise("clasp").alias("tool"), code.alias("code"))
+
+
+@register("R87_task_outcomes", f"""
+WITH t AS (SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'blast' ELSE 'clasp' END AS tool, {_CODE} AS code FROM orders)
+SELECT task_id, CASE WHEN code = 0 THEN 'ok' WHEN code = -99 THEN 'timeout' WHEN (tool = 'blast' AND code IN (3, 4)) OR (tool = 'clasp' AND code = 255) THEN 'memory' WHEN code < 0 THEN 'killed' ELSE 'fatal' END AS outcome FROM t""")
+def outcomes(spark, d):
+    return _tasks(spark, d).select("task_id", delta.outcome(F.col("tool"), F.col("code")).alias("outcome"))
+
+
+@register("R87b_retry_chunks", f"""
+WITH t AS (SELECT o_orderkey AS task_id, o_custkey % 230 AS n, o_orderstatus = 'F' AS own, o_orderkey % 2 = 0 AS blast, {_CODE} AS code FROM orders),
+r AS (SELECT task_id, n, CASE WHEN own THEN greatest(n // 100, 1) ELSE 1 END AS size FROM t WHERE n > 0 AND code <> 0 AND (code < 0 OR (blast AND code IN (3, 4)) OR (NOT blast AND code = 255))),
+c AS (SELECT *, unnest(range((n - 1) // size + 1)) AS chunk FROM r)
+SELECT task_id, chunk, chunk * size AS first, least(chunk * size + size, n) - 1 AS last FROM c""")
+def chunks(spark, d):
+    return delta.retry_chunks(_tasks(spark, d))
+
+
+@register("R87c_parents_replaced_by_windows", """
+WITH w AS (SELECT l_orderkey AS k, l_orderkey * 1000 + l_linenumber * 100 AS s, l_returnflag = 'A' AS ok FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)),
+p AS (SELECT o_orderkey AS k, o_orderkey * 1000 AS s, o_orderstatus = 'F' AS ok FROM orders),
+g AS (SELECT DISTINCT k, s FROM w WHERE ok)
+SELECT 'o' AS org, s AS start, s + 999 AS "end", 'kept' AS status FROM p WHERE ok
+UNION ALL SELECT 'o', g.s, g.s + 99, 'window' FROM p JOIN g USING (k) WHERE NOT p.ok
+UNION ALL SELECT 'o', s, s + 999, 'failed' FROM p WHERE NOT ok AND k NOT IN (SELECT k FROM g)""")
+def replaced(spark, d):
+    o = table(spark, d, "orders")
+    parents = o.select(F.lit("o").alias("org"), (F.col("o_orderkey") * 1000).alias("start"), (F.col("o_orderkey") * 1000 + 999).alias("end"), (F.col("o_orderstatus") == "F").alias("ok"))
+    at = F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100
+    windows = table(spark, d, "lineitem").select(
+        F.lit("o").alias("org"), (F.col("l_orderkey") * 1000).alias("parent_start"), at.alias("start"), (at + 99).alias("end"), (F.col("l_returnflag") == "A").alias("ok")).distinct()
+    return delta.replace_by_windows(parents, windows)
