@@ -15,7 +15,7 @@ from colinear.llm import mix, quality  # noqa: E402
 from colinear.llm.queries import ratings  # noqa: E402
 
 from .conftest import prose  # noqa: E402
-from .test_operators import brute_contamination, brute_groups  # noqa: E402
+from .test_operators import brute_contamination, brute_near  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,9 +55,8 @@ def plain(spark, d, rows, bench):
         return len(ids) and 1 / (1 + math.exp(model.thresholds[1] - sum(weight.get(int(i), 0.0) for i in ids))) >= 0.5
 
     kept = [r for r in rows if good(r[1])]
-    least = {(g[0], g[1]): g[2] for g in brute_groups(kept)}
-    groups = {r[0]: g for r in kept for (i, _), g in least.items() if i == r[0]}
-    kept = [r for r in kept if groups[r[0]] == r[0]]
+    least = {k[1] for k in brute_near(kept).values()}
+    kept = [r for r in kept if r[0] in least]
     bad = {g[0] for g in brute_contamination(kept, bench) if g[2]}
     kept = [r for r in kept if r[0] not in bad]
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -70,7 +69,8 @@ def plain(spark, d, rows, bench):
     for s, v in by.items():
         want, before = math.floor(target[s] + 0.5), 0
         times, rest = divmod(want, sizes[s])
-        for r in sorted(v, key=lambda r: hashlib.md5(f"17:{'null' if r[0] is None else r[0]}".encode()).hexdigest()):
+        digest = lambda r: hashlib.md5(f"17:{'null' if r[0] is None else r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
+        for r in sorted(v, key=digest):
             extra = rest > 0 and 2 * before + size(r[1]) <= 2 * rest
             before += size(r[1])
             out[(r[0], r[1])] += times + extra
