@@ -121,7 +121,7 @@ lev AS (
   SELECT c.conv_id, c.call_id, c.turn, lev.level + 1 FROM c JOIN lev ON c.conv_id = lev.conv_id AND c.turn = lev.turn + 2)
 SELECT l.conv_id, l.call_id, l.turn, result_turn, name, status, 0::BIGINT AS repeats, level,
        row_number() OVER (PARTITION BY l.conv_id ORDER BY level NULLS LAST, l.turn NULLS LAST, l.call_id, result_turn, content) - 1 AS position,
-       CASE status WHEN 'orphan' THEN 'no call' ELSE '' END AS faults,
+       CASE WHEN status = 'orphan' THEN 'no call' WHEN text IS NULL THEN 'text not string' ELSE '' END AS faults,
        json_object('arguments', CASE WHEN status <> 'orphan' THEN json_object('role', role, 'text', text, 'turn', l.turn) END,
                    'call_id', l.call_id, 'content', content, 'name', name, 'status', status)::VARCHAR AS json
 FROM l LEFT JOIN lev USING (conv_id, call_id)

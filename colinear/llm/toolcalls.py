@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import null_safe, small, stored
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
@@ -89,8 +89,8 @@ def link(calls: DataFrame, results: DataFrame) -> DataFrame:
         .cast("long").alias("repeats"))
 
 
-def levels(linked: DataFrame) -> DataFrame:
-    """``(conv_id, call_id, level int)``: 0 without a known earlier call, else 1 + the highest before.
+def _rounds(linked: DataFrame) -> DataFrame:
+    """``levels`` of conversations in which a call waits for a later one or for itself.
 
     Calls after exactly one other form chains, which pointer doubling follows to their start in
     as many rounds as the logarithm of their length.  Only calls after several others are then
@@ -133,6 +133,75 @@ def levels(linked: DataFrame) -> DataFrame:
     return reach.join(settled, ["conv_id", "root"]).select(*key, (F.col("level") + F.col("dist")).cast("int").alias("level"))
 
 
+def _ranked(calls: DataFrame, by: list[str], order: list, block: Column, name: str) -> DataFrame:
+    """``calls`` with their number from 0 within ``by``: blocks of one order are numbered each for itself and added up."""
+    keys = [*by, "__block"]
+    own = calls.withColumn("__block", block)
+    before = Window.partitionBy(*by).orderBy(F.col("__block").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    bases = own.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    numbered = own.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    return null_safe(numbered, bases, keys, "inner").withColumn(name, (F.col("__base") + F.col(name)).cast("long")).drop("__block", "__base")
+
+
+def _swept(edges: DataFrame, block: int) -> DataFrame:
+    """``(conv_id, t, level long)`` of all calls that wait, where each waits for earlier ranks only (f < t).
+
+    The chunks of ``block`` ranks are taken in order, those of all conversations at once.  In a chunk one aggregation follows
+    the order, so its calls take one step however long a run they make.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id", "chunk").orderBy("t")) - 1
+    own = stored(edges.select("conv_id", "t").distinct().withColumn("chunk", F.floor(F.col("t") / block)).withColumn("i", place), "chunks")
+    met = stored(
+        edges.withColumn("chunk", F.floor(F.col("t") / block)).join(
+            own.select("conv_id", F.col("t").alias("f"), F.col("chunk").alias("c"), F.col("i").alias("j")), ["conv_id", "f"], "left")
+        .withColumn("near", F.coalesce(F.col("c") == F.col("chunk"), F.lit(False))), "met")
+    deps = met.where("near").groupBy("conv_id", "t").agg(F.collect_list("j").alias("deps"))
+    inside = stored(own.join(deps, ["conv_id", "t"], "left").select("conv_id", "chunk", "t", "i", F.coalesce("deps", F.array().cast("array<int>")).alias("deps")), "inside")
+    zero, done = F.lit(0).cast("long"), None
+    for (c,) in sorted(own.select("chunk").distinct().collect()):
+        far = met.where((F.col("chunk") == c) & ~F.col("near"))
+        far = far.withColumn("level", zero) if done is None else far.join(done.withColumnRenamed("t", "f"), ["conv_id", "f"], "left")
+        base = far.groupBy("conv_id", "t").agg(F.max(F.coalesce("level", zero) + 1).alias("base"))
+        rows = inside.where(F.col("chunk") == c).join(base, ["conv_id", "t"], "left").groupBy("conv_id").agg(
+            F.array_sort(F.collect_list(F.struct("i", "t", F.coalesce("base", zero).alias("base"), "deps"))).alias("x"))
+        follow = F.aggregate("x", F.array().cast("array<bigint>"), lambda got, x: F.concat(got, F.array(F.greatest(
+            x["base"], F.coalesce(F.array_max(F.transform(x["deps"], lambda j: F.get(got, j) + 1)), zero)))))
+        part = stored(
+            rows.select("conv_id", F.transform("x", lambda x: x["t"]).alias("t"), follow.alias("level"))
+            .select("conv_id", F.explode(F.arrays_zip("t", "level")).alias("r")).select("conv_id", "r.t", "r.level"), "level")
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
+def levels(linked: DataFrame, block: int = 1024) -> DataFrame:
+    """``(conv_id, call_id, level int)``: 0 without a known earlier call, else 1 + the highest before.
+
+    Calls are ranked by turn, ordinal and identifier.  In a conversation whose calls wait for earlier ranks only, chunks of
+    ``block`` ranks are settled one after another (ten thousand calls take ten steps).  In the others calls may
+    wait for later ones: they are settled in rounds, and calls on a cycle, or after one, have no row.
+    """
+    key = ["conv_id", "call_id"]
+    order = [c for c in ("turn", "ordinal") if c in linked.columns]
+    calls = linked.where("conv_id is not null and call_id is not null and status <> 'orphan'").select(*key, *order)
+    blocks = F.floor(F.col("turn") / block) if "turn" in order else F.lit(0).cast("long")
+    ranked = stored(_ranked(calls, ["conv_id"], [*[F.col(c).asc_nulls_last() for c in order], F.col("call_id")], blocks, "rank").select(*key, "rank"), "calls")
+    waits = linked.select(*key, F.explode("after").alias("before")).where("before is not null").distinct()
+    edges = stored(
+        waits.join(ranked.withColumnRenamed("rank", "t"), key)
+        .join(ranked.select("conv_id", F.col("call_id").alias("before"), F.col("rank").alias("f")), ["conv_id", "before"])
+        .select("conv_id", "f", "t"), "after")
+    late = stored(edges.where("f >= t").select("conv_id").distinct(), "late")
+    n_late = late.count()
+    timely = edges.join(small(late, n_late, 8), "conv_id", "left_anti") if n_late else edges
+    swept = _swept(timely, block)
+    rest = ranked.join(small(late, n_late, 8), "conv_id", "left_anti") if n_late else ranked
+    level = F.lit(0)
+    if swept is not None:
+        rest, level = rest.join(swept.withColumnRenamed("t", "rank"), ["conv_id", "rank"], "left"), F.coalesce("level", F.lit(0))
+    out = rest.select(*key, level.cast("int").alias("level"))
+    return out.unionByName(_rounds(linked.join(small(late, n_late, 8), "conv_id", "left_semi"))) if n_late else out
+
+
 def _faults(fields: Column, arguments: Column) -> Column:
     def fault(f: Column) -> Column:
         kind = F.schema_of_variant(F.try_variant_get(arguments, F.concat(F.lit("$."), f["field"]), "variant"))
@@ -147,7 +216,7 @@ def _faults(fields: Column, arguments: Column) -> Column:
     return F.array_sort(F.filter(F.transform(fields, fault), lambda x: x.isNotNull()))
 
 
-def validate(linked: DataFrame, schemas: DataFrame, small_rows: int = 100_000) -> DataFrame:
+def validate(linked: DataFrame, schemas: DataFrame, small_bytes: int | None = None) -> DataFrame:
     """``linked`` with ``faults array<string>`` and ``canonical`` arguments.
 
     ``schemas(name, field, type, required boolean)``.  A fault is: a call without a schema,
@@ -157,7 +226,7 @@ def validate(linked: DataFrame, schemas: DataFrame, small_rows: int = 100_000) -
     by_name = schemas.groupBy("name").agg(F.collect_list(F.struct("field", "type", "required")).alias("fields"))
     n = by_name.count()
     parsed = F.try_parse_json("arguments")
-    joined = linked.withColumn("v", parsed).join(small(by_name, n, small_rows), "name", "left")
+    joined = linked.withColumn("v", parsed).join(small(by_name, n, 256, small_bytes), "name", "left")
     is_object = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
     faults = (
         F.when(F.col("status") == "orphan", F.array(F.lit("no call")))
@@ -177,17 +246,16 @@ def format_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> Da
     key = ["conv_id", "call_id"]
     linked = stored(validate(link(calls, results), schemas), "linked")
     ranked = linked.join(levels(linked), key, "left").withColumn("l", F.coalesce("level", F.lit(2**31 - 1)))
-    # a conversation is placed level by level, so that no sort holds all of it
-    upto = Window.partitionBy("conv_id").orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        ranked.groupBy("conv_id", "l").agg(F.count("*").alias("n"))
-        .select(F.col("conv_id").alias("b_conv"), F.col("l").alias("b_l"),
-                F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
-    )
-    own = Window.partitionBy("conv_id", "l").orderBy(
-        F.col("turn").asc_nulls_last(), F.col("ordinal").asc_nulls_last(), "call_id", "result_turn", "content")
-    placed = ranked.withColumn("own", F.row_number().over(own) - 1).join(
-        bases, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("l") == F.col("b_l")))
+    # a conversation is numbered in blocks of levels, those in blocks of turns, so that no sort holds all of it
+    last = [F.col("turn").asc_nulls_last(), F.col("ordinal").asc_nulls_last(), "call_id", "result_turn", "content"]
+    one = _ranked(ranked, ["conv_id", "l"], last, F.floor(F.col("turn") / 1024), "own")
+    upto = one.groupBy("conv_id", "l").agg(F.count("*").alias("n")).withColumn("lb", F.floor(F.col("l") / 1024))
+    within = Window.partitionBy("conv_id", "lb").orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id").orderBy("lb").rowsBetween(Window.unboundedPreceding, -1)
+    of_block = upto.groupBy("conv_id", "lb").agg(F.sum("n").alias("n")).select("conv_id", "lb", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base2"))
+    bases = null_safe(upto.withColumn("base1", F.coalesce(F.sum("n").over(within), F.lit(0))), of_block, ["conv_id", "lb"], "inner").select(
+        "conv_id", "l", (F.col("base1") + F.col("base2")).alias("base"))
+    placed = null_safe(one, bases, ["conv_id", "l"], "inner")
     body = F.to_json(F.struct(
         F.try_parse_json("canonical").alias("arguments"), "call_id", "content", F.col("name").alias("name"), "status"),
         {"ignoreNullFields": "false"})

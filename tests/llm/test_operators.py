@@ -536,6 +536,33 @@ def test_levels_of_chains_and_joins(spark):
     assert got == {0: 0, 1: 1, 2: 2, 3: 0, 4: 3, 5: 4, 6: 5, 13: 0} | {i: i - 100 for i in range(100, 170)}
 
 
+def test_a_long_ladder_takes_few_steps(spark):
+    import time
+
+    df = spark.range(10_000).select(
+        F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit(0).alias("ordinal"), F.col("id").cast("string").alias("call_id"),
+        F.array((F.col("id") - 1).cast("string"), (F.col("id") - 2).cast("string")).alias("after"), F.lit("linked").alias("status"))
+    began = time.time()
+    got = toolcalls.levels(df).agg(F.sum(F.when(F.col("level") == F.col("call_id").cast("int"), 1).otherwise(0)).alias("ok")).first()
+    assert got.ok == 10_000 and time.time() - began < 120
+
+
+def test_levels_of_joins_in_small_chunks(spark):
+    import random
+
+    rng, rows_, want = random.Random(12), [], {}
+    for conv in range(5):
+        turns = sorted(rng.randint(0, 60) for _ in range(40))
+        level = []
+        for i in range(40):
+            after = rng.sample(range(i), min(i, rng.randint(0, 3)))
+            level.append(1 + max((level[a] for a in after), default=-1))
+            rows_.append((conv, turns[i], i, f"n{i:02}", [f"n{a:02}" for a in after] + ["unknown"], "linked"))
+            want[(conv, f"n{i:02}")] = level[-1]
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, ordinal int, call_id string, after array<string>, status string")
+    assert {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(df, block=16).collect()} == want
+
+
 def test_repeated_and_empty_messages(spark):
     m = spark.createDataFrame([(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 1, "assistant", "x"), (1, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
     schema = spark.createDataFrame([], "name string, field string, type string, required boolean")
