@@ -16,7 +16,9 @@ ORACLE_SQL = None
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents more likely good than not, by ordinal regression on the label table's grades.
 
-    Null and wordless texts go; without any labels all texts with words stay.
+    Null and wordless texts go; without any labels all texts with words stay.  Repeated rows are alike and stay
+    repeated; a tie (0.5) stays; very long texts are scored whole; an empty table gives no rows; columns are kept,
+    whatever they are named.
     """
     model = quality.train(docs, ratings(spark, sf_dir), n_grades=3)
     return quality.score(docs, model).where(F.col("tail")[1] >= 0.5).select(*docs.columns)
@@ -33,19 +35,32 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any 10-word window of a benchmark item."""
+    """Documents without any 10-word window of a benchmark item (an item of fewer words is one window).
+
+    Null and wordless texts stay; repeated rows go or stay together; very long texts are read whole; with an empty
+    benchmark all stay; an empty table gives no rows; columns are kept, whatever they are named.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), width=10)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (0 to 2 times): 150 % of all words, sources weighing 3, 1, 2."""
+    """Each document as often as the mix takes it (0 to 2 times): 150 % of all words, sources weighing 3, 1, 2.
+
+    A null source is a source of its own, the last.  Texts without words have size 0; those of a source that is wholly
+    taken once stay once.  Repeated rows are told apart where a share ends between them; an empty table gives no
+    rows; columns are kept, whatever they are named.
+    """
     sources = F.array("source")
     plan = mix.mix(docs, sources, mix.cycle_weights([3, 1, 2], 1.5, 2.0), repeats=2, seed=17)
     return mix.mixed(docs, sources, plan)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ``shard`` of 24 and shuffled ``slot`` in it."""
+    """All documents with their ``shard`` of 24 (int) and shuffled ``slot`` in it (long, gapless from 0).
+
+    Null keys share a shard; each repeated row has a slot of its own; null, empty and very long texts are rows like any
+    other; columns named ``shard`` or ``slot`` are replaced; an empty table gives no rows.
+    """
     return shard.shuffle_into_shards(docs, 24, key="doc_id", content="text", seed=7)
 
 
