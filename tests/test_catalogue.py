@@ -9,6 +9,11 @@ from colinear.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+#: Queries that no SQL expresses; their operators meet brute force or hand-made results in test_kernels and test_operators.
+BRUTE_FORCE = {
+    "R36b_region_growth", "R36c_orientation_propagation", "R45_greedy_keep_longest", "R46_chain_overlap_resolution", "R47_tandem_alignment", "R48_cliques",
+    "R48b_markov_clusters", "R48c_cograph_editing", "R48d_reciprocal_dedup", "R48e_seed_and_chain",
+}
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
@@ -37,7 +42,7 @@ def test_query(spark, duck, name):
     got = catalogue.queries()[name](spark, DATA).toPandas()
     sql = catalogue.oracle_sql().get(name)
     if sql is None:
-        assert len(got.columns) > 0
+        assert name in BRUTE_FORCE and len(got) > 0
         return
     want = duck.execute(sql).df()
     cols = sorted(got.columns)
