@@ -46,8 +46,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (0 to 2 times): 150 % of all words, sources weighing 3, 1, 2.
 
-    A null source is a source of its own, the last.  Texts without words have size 0; those of a source that is wholly
-    taken once stay once.  Repeated rows are told apart where a share ends between them; an empty table gives no
+    A null source is a source of its own, the last.  Texts without words have size 0 and go with their place in the
+    order; a source without any words isn't taken.  Repeated rows are told apart where a share ends between them; an empty table gives no
     rows; columns are kept, whatever they are named.
     """
     sources = F.array("source")
