@@ -208,7 +208,16 @@ def colours(spark, d):
     return g.merge_fragments(f, ["user_id"])
 
 
-@register("R45_greedy_keep_longest")
+@register("R45_greedy_keep_longest", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, start, "end" AS e, row_number() OVER (PARTITION BY user_id ORDER BY start, "end", event_id) AS n FROM ({SQL_EVENTS})),
+r AS (
+  SELECT user_id, n, [{{'id': event_id, 's': start, 'e': e}}] AS kept FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, CASE WHEN place IS NULL OR place = 0 THEN list_append(kept, x) WHEN x.e - x.s > kept[place].e - kept[place].s THEN list_concat(list_append(kept[:place - 1], x), kept[place + 1:]) ELSE kept END
+  FROM (SELECT r.user_id, e.n, kept, {{'id': event_id, 's': start, 'e': e.e}} AS x, list_position(list_transform(kept, lambda k: k.s <= e.e AND start <= k.e), true) AS place
+        FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)),
+z AS (SELECT user_id, unnest(kept) AS k FROM r JOIN (SELECT user_id, max(n) AS n FROM e GROUP BY user_id) USING (user_id, n))
+SELECT user_id, k.id AS event_id, k.s AS start, k.e AS "end" FROM z""")
 def keep_longest(spark, d):
     return k.keep_longest(intervals(spark, d), ["user_id"], "event_id")
 
