@@ -243,7 +243,10 @@ def tandem(spark, d):
     return k.align_chains(two.where("side = 1 or pos > 1"))
 
 
-@register("R48_cliques")
+# parts and suppliers are two sides, so the maximal cliques are the edges
+@register("R48_cliques", f"""
+WITH {_COMP}, q AS (SELECT component, row_number() OVER (PARTITION BY component ORDER BY src, dst) - 1 AS cluster, [src, dst] AS pair FROM (SELECT DISTINCT src, dst FROM e) JOIN c ON node = src)
+SELECT component, cluster::INT AS cluster, unnest(pair) AS node FROM q""")
 def cliques(spark, d):
     return k.by_component(_edges(spark, d), "cliques")
 
@@ -258,7 +261,14 @@ def cograph(spark, d):
     return k.by_component(_edges(spark, d), "cograph", seed=1, restarts=5)
 
 
-@register("R48d_reciprocal_dedup")
+@register("R48d_reciprocal_dedup", f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id AS id, start, "end" AS e, value FROM ({SQL_EVENTS}) WHERE start < "end"),
+p AS MATERIALIZED (
+  SELECT a.id AS u, b.id AS v FROM e a JOIN e b ON a.user_id = b.user_id AND a.id <> b.id
+  WHERE greatest(least(a.e, b.e) - greatest(a.start, b.start), 0) / least(a.e - a.start, b.e - b.start) >= 0.5 AND greatest(a.e - a.start, b.e - b.start) / least(a.e - a.start, b.e - b.start) <= 2.0),
+r AS (SELECT id AS node, id AS seen FROM e UNION SELECT r.node, p.v FROM r JOIN p ON r.seen = p.u),
+c AS (SELECT node AS id, min(seen) AS g FROM r GROUP BY node)
+SELECT user_id, arg_min(id, (-value, id)) AS id, min(start) AS start, max(e) AS "end", count(*) AS n FROM e JOIN c USING (id) GROUP BY user_id, g""")
 def reciprocal(spark, d):
     e = intervals(spark, d).select("user_id", F.col("event_id").alias("id"), "start", "end", F.col("value").alias("quality"))
     return k.dedup_reciprocal(e.where("start < end"), ["user_id"], 16384)
@@ -284,7 +294,17 @@ def growth(spark, d):
     return g.grow_regions(first.select("org", "seqid", F.col("s").alias("start"), F.col("e").alias("end")), links, 20000, 4, 10000, 3, 1 << 17)
 
 
-@register("R36c_orientation_propagation")
+@register("R36c_orientation_propagation", f"""
+WITH {_COMP}, x AS MATERIALIZED (
+  SELECT src, dst, CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END AS sign FROM e UNION ALL SELECT dst, src, CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END FROM e),
+o AS (
+  SELECT component AS root, [component] AS done, [{{'n': component, 'o': 1}}] AS front, 0 AS depth FROM (SELECT DISTINCT component FROM c)
+  UNION ALL
+  SELECT root, list_concat(any_value(done), list(n)), list({{'n': n, 'o': CASE WHEN v >= 0 THEN 1 ELSE -1 END}}), any_value(depth) + 1
+  FROM (SELECT root, any_value(done) AS done, any_value(depth) AS depth, dst AS n, sum(f.o * sign) AS v
+        FROM (SELECT root, done, depth, unnest(front) AS f FROM o) JOIN x ON x.src = f.n WHERE NOT list_contains(done, dst) GROUP BY root, dst)
+  GROUP BY root)
+SELECT f.n AS node, f.o AS orientation, depth FROM (SELECT depth, unnest(front) AS f FROM o)""")
 def propagate(spark, d):
     e = _edges(spark, d).select("src", "dst", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1).alias("sign"))
     roots = g.components(e).select(F.col("component").alias("node")).distinct()
