@@ -50,7 +50,7 @@ def self_score_missing(candidates: DataFrame, hits: DataFrame, factor: float = 2
 # -- failed tasks -----------------------------------------------------------------------------
 
 #: Return codes of the alignment and the chaining tool that mean a lack of memory, and the code of a time-out (fixed values).
-MEMORY_CODES = {"blast": (3, 4), "clasp": (255,)}
+MEMORY_CODES = {"alignment": (3, 4), "chaining": (255,)}
 TIMEOUT_CODE = -99
 
 

@@ -279,19 +279,19 @@ def _tasks(spark, d):
     code = F.when(k == 0, 0).when(k == 1, -99).when(k == 2, 3).when(k == 3, 4).when(k == 4, 255).when(k == 5, -9).otherwise(1)
     return table(spark, d, "orders").select(
         F.col("o_orderkey").alias("task_id"), (F.col("o_custkey") % 230).alias("n"), (F.col("o_orderstatus") == "F").alias("self_alignment"),
-        F.when(F.col("o_orderkey") % 2 == 0, "blast").otherwise("clasp").alias("tool"), code.alias("code"))
+        F.when(F.col("o_orderkey") % 2 == 0, "alignment").otherwise("chaining").alias("tool"), code.alias("code"))
 
 
 @register("R87_task_outcomes", f"""
-WITH t AS (SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'blast' ELSE 'clasp' END AS tool, {_CODE} AS code FROM orders)
-SELECT task_id, CASE WHEN code = 0 THEN 'ok' WHEN code = -99 THEN 'timeout' WHEN (tool = 'blast' AND code IN (3, 4)) OR (tool = 'clasp' AND code = 255) THEN 'memory' WHEN code < 0 THEN 'killed' ELSE 'fatal' END AS outcome FROM t""")
+WITH t AS (SELECT o_orderkey AS task_id, CASE WHEN o_orderkey % 2 = 0 THEN 'alignment' ELSE 'chaining' END AS tool, {_CODE} AS code FROM orders)
+SELECT task_id, CASE WHEN code = 0 THEN 'ok' WHEN code = -99 THEN 'timeout' WHEN (tool = 'alignment' AND code IN (3, 4)) OR (tool = 'chaining' AND code = 255) THEN 'memory' WHEN code < 0 THEN 'killed' ELSE 'fatal' END AS outcome FROM t""")
 def outcomes(spark, d):
     return _tasks(spark, d).select("task_id", delta.outcome(F.col("tool"), F.col("code")).alias("outcome"))
 
 
 @register("R87b_retry_chunks", f"""
-WITH t AS (SELECT o_orderkey AS task_id, o_custkey % 230 AS n, o_orderstatus = 'F' AS own, o_orderkey % 2 = 0 AS blast, {_CODE} AS code FROM orders),
-r AS (SELECT task_id, n, CASE WHEN own THEN greatest(n // 100, 1) ELSE 1 END AS size FROM t WHERE n > 0 AND code <> 0 AND (code < 0 OR (blast AND code IN (3, 4)) OR (NOT blast AND code = 255))),
+WITH t AS (SELECT o_orderkey AS task_id, o_custkey % 230 AS n, o_orderstatus = 'F' AS own, o_orderkey % 2 = 0 AS alignment, {_CODE} AS code FROM orders),
+r AS (SELECT task_id, n, CASE WHEN own THEN greatest(n // 100, 1) ELSE 1 END AS size FROM t WHERE n > 0 AND code <> 0 AND (code < 0 OR (alignment AND code IN (3, 4)) OR (NOT alignment AND code = 255))),
 c AS (SELECT *, unnest(range((n - 1) // size + 1)) AS chunk FROM r)
 SELECT task_id, chunk, chunk * size AS first, least(chunk * size + size, n) - 1 AS last FROM c""")
 def chunks(spark, d):
