@@ -18,13 +18,19 @@ def inside_both_windows(hits: DataFrame, windows: DataFrame, width: int) -> Data
 
 
 def links_within_tracks(links: DataFrame, tracks: DataFrame, width: int) -> DataFrame:
-    """Links with both ends on some track ``(track, seqid, start, end)``, each pair of end points once."""
-    point = lambda i: links.select(
-        "link_id", F.col(f"seqid{i}").alias("seqid"), F.col(f"pos{i}").alias("p0"), F.col(f"pos{i}").alias("p1"))
-    on = lambda i: interval_join(point(i), tracks, ["seqid"], ("p0", "p1"), ("start", "end"), width).select(
-        "link_id", F.col("track").alias(f"track{i}"))
+    """Links with both ends on some track ``(track, seqid, start, end)``, each pair of end points once.
+
+    A point's least track is found once for each point, where the points meet the tracks: the least pair of tracks of a
+    link is that of its ends, so no table of all tracks of a point, or of all pairs of them, is made.
+    """
+    ends = links.select(*[F.col(f"{c}{i}") for i in (1, 2) for c in ("seqid", "pos")]).distinct()
+    point = lambda i: ends.select(F.col(f"seqid{i}").alias("seqid"), F.col(f"pos{i}").alias("p0"))
+    points = point(1).union(point(2)).distinct().withColumn("p1", F.col("p0"))
+    spans = tracks.groupBy("seqid", "start", "end").agg(F.min("track").alias("track"))
+    least = interval_join(points, spans, ["seqid"], ("p0", "p1"), ("start", "end"), width).groupBy("seqid", "p0").agg(F.min("track").alias("track"))
+    on = lambda i: least.select(F.col("seqid").alias(f"seqid{i}"), F.col("p0").alias(f"pos{i}"), F.col("track").alias(f"track{i}"))
     a, b = (F.struct(F.col(f"seqid{i}").alias("seqid"), F.col(f"pos{i}").alias("pos")) for i in (1, 2))
-    met = links.join(on(1), "link_id").join(on(2), "link_id").withColumn("x", F.least(a, b)).withColumn("y", F.greatest(a, b))
+    met = ends.join(on(1), ["seqid1", "pos1"]).join(on(2), ["seqid2", "pos2"]).withColumn("x", F.least(a, b)).withColumn("y", F.greatest(a, b))
     return met.groupBy("x", "y").agg(F.min(F.struct("track1", "track2")).alias("t")).select(
         F.col("x.seqid").alias("seqid1"), F.col("x.pos").alias("pos1"), F.col("y.seqid").alias("seqid2"), F.col("y.pos").alias("pos2"), "t.*")
 

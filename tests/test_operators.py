@@ -183,3 +183,21 @@ def test_parameters(spark):
     assert rows(k, "org", "k", "window", "percentile") == [("a", 6, 300, 42), ("b", 7, 300, 42)]
     bad = params.default_parameters(g, "dups").withColumn("pitch", F.lit(300)).withColumn("y1", F.lit(101))
     assert {r.problem for r in params.parameter_problems(bad, g.where("org = 'a'")).collect()} == {"pitch not below window", "y1 not within 0..100", "unknown organism"}
+
+
+def test_links_within_very_many_tracks(spark):
+    import time
+
+    from colinear.operators import joins as jn
+
+    tracks = spark.range(4000).selectExpr("id + 7 as track", "0L as seqid", "-id as start", "9000 + id as end")
+    tracks = tracks.union(spark.sql("select 3L, 0L, 0L, 50L"))
+    links = spark.range(60).selectExpr("id as link_id", "0L as seqid1", "id * 10 as pos1", "0L as seqid2", "300 - id as pos2")
+    began = time.time()
+    got = {(r.pos1, r.pos2): (r.track1, r.track2) for r in jn.links_within_tracks(links, tracks, 4096).collect()}
+    assert time.time() - began < 60  # all pairs of tracks of all links: 960 million
+    want = {}
+    for i in range(60):
+        ends, on = (10 * i, 300 - i), tuple(3 if p <= 50 else 7 for p in (10 * i, 300 - i))
+        want[min(ends), max(ends)] = min(on, want.get((min(ends), max(ends)), on))
+    assert got == want
