@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,12 +110,14 @@ def quality_filtered(hits: DataFrame, least_identity: float, most_frameshifts: i
 def augmented_edges(alignments: DataFrame, genes: DataFrame, tolerance: int, width: int, least: float = 50.0, penalty: float = 2.0) -> DataFrame:
     """Edges between genes and the alignments clipped to them (with ``tolerance``), best score each.
 
-    Each position cut off costs ``penalty``; what falls under ``least`` gives no edge.
+    Each position cut off costs ``penalty``; what falls under ``least`` gives no edge.  The cost is the nearest double to
+    the decimal product, so that a score of just ``least`` doesn't hang on how the penalty is held.
     """
+    rate = Fraction(str(penalty))
     g = genes.select("gene_id", "seqid", (F.col("start") - tolerance).alias("lo"), (F.col("end") + tolerance).alias("hi"))
     met = interval_join(alignments, g, ["seqid"], ("start", "end"), ("lo", "hi"), width)
     cut = (F.greatest("start", "lo") - F.col("start")) + (F.col("end") - F.least("end", "hi"))
-    return met.withColumn("clipped", F.col("score") - penalty * cut).where(F.col("clipped") >= least).groupBy("gene_id", "aln_id").agg(F.max("clipped").alias("score"))
+    return met.withColumn("clipped", F.col("score") - cut * rate.numerator / F.lit(float(rate.denominator))).where(F.col("clipped") >= least).groupBy("gene_id", "aln_id").agg(F.max("clipped").alias("score"))
 
 
 def chain_labels(genes: DataFrame, components: DataFrame) -> DataFrame:

@@ -201,3 +201,12 @@ def test_links_within_very_many_tracks(spark):
         ends, on = (10 * i, 300 - i), tuple(3 if p <= 50 else 7 for p in (10 * i, 300 - i))
         want[min(ends), max(ends)] = min(on, want.get((min(ends), max(ends)), on))
     assert got == want
+
+
+def test_a_clipped_score_of_just_the_least_gives_an_edge(spark):
+    from colinear.operators import joins as jn
+
+    alignments = spark.createDataFrame([(1, 0, 65, 300, 50.7), (2, 0, 64, 300, 50.7)], "aln_id long, seqid long, start long, end long, score double")
+    genes = spark.createDataFrame([(5, 0, 200, 300)], "gene_id long, seqid long, start long, end long")
+    got = jn.augmented_edges(alignments, genes, 100, 64, 50.0, 0.02).collect()
+    assert [tuple(r) for r in got] == [(5, 1, 50.0)]  # 0.02 * 35 as doubles is more than 0.7
