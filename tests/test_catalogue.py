@@ -48,3 +48,17 @@ def test_query(spark, duck, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     pd.testing.assert_frame_equal(normal(got, cols), normal(want, cols))
+
+
+def test_union_graph_of_part_numbers_past_a_million(spark, tmp_path):
+    import duckdb
+
+    rows = [(1_000_003, 2, 90.0), (1_000_002, 3, 70.0), (1_000_004, 4, 85.0), (7, 1, 61.0), (7, 1, 30.0), (8, 1, 59.0)]
+    df = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double")
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    name = "R37d_homology_and_union_graph"
+    got = catalogue.queries()[name](spark, str(tmp_path)).toPandas()
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    cols = ["dst", "score", "src"]
+    pd.testing.assert_frame_equal(normal(got, cols), normal(c.execute(catalogue.oracle_sql()[name]).df(), cols))
