@@ -15,13 +15,11 @@ SHARDS, SEED = 24, 7
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 24 shards; the key alone decides, so a 25th takes rows only into itself."""
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    out = shard.shuffle_into_shards(rows, SHARDS, key="doc_id", content="text_crc32", seed=SEED)
+    """All documents, whole, in 24 shards; the key alone decides, so a 25th takes rows only into itself."""
+    out = shard.shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS, key="doc_id", content="text", seed=SEED)
     return out.select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot",
+        "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), "shard", "slot",
         shard.shard_of(F.col("doc_id"), SHARDS + 1, SEED).alias("grown_shard"))
 
 

@@ -49,3 +49,10 @@ def test_columns_and_rows_of_the_queries(spark, tables, name):
     assert sorted(names) == sorted(out.columns)
     plain = lambda x: round(x, 6) if isinstance(x, float) else x
     assert Counter(tuple(plain(r[c]) for c in names) for r in rows) == Counter(tuple(plain(x) for x in r) for r in got.fetchall())
+
+
+def test_sharding_moves_whole_documents(spark, tables, monkeypatch):
+    seen, real = [], thin.shard.shuffle_into_shards
+    monkeypatch.setattr(thin.shard, "shuffle_into_shards", lambda rows, *a, **k: seen.append(rows) or real(rows, *a, **k))
+    out = thin.op1_sharding(spark, tables)
+    assert set(seen[0].columns) >= {"doc_id", "text", "lang", "source"} and out.count() == seen[0].count()
