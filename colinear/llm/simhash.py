@@ -155,7 +155,7 @@ def _stars(radius: int):
 
 
 def _nearest(radius: int, check_radius: int):
-    """Links of a tile: each query with the most similar of the smaller ids and of the larger ones.
+    """Links of a tile: each query with the most similar of the smaller ids and of the larger ones; the other texts met, each with itself.
 
     Similar is told by the two check words, within ``check_radius`` bits of their 128.
     """
@@ -165,11 +165,13 @@ def _nearest(radius: int, check_radius: int):
         far = check_radius + 1
         best = np.full((2, len(ids)), far, np.int32)
         whom = np.zeros((2, len(ids)), np.int64)
+        met = np.zeros(len(ids), bool)
         for a, b in vantage_hits(fps[i], fps[q], radius):
             a, b = q[a], i[b]
             d = sum(np.bitwise_count(r[a] ^ r[b]).astype(np.int32) for r in rest)
             ok = (d < far) & (ids[a] != ids[b])
             a, b, d = a[ok], b[ok], d[ok]
+            met[b] = True
             for side, there in ((0, ids[b] < ids[a]), (1, ids[b] > ids[a])):
                 x, y, z = a[there], b[there], d[there]
                 order = np.lexsort([ids[y], z, x])
@@ -180,11 +182,31 @@ def _nearest(radius: int, check_radius: int):
                 x, y, z = x[better], y[better], z[better]
                 best[side][x], whom[side][x] = z, ids[y]
         found = [np.flatnonzero(best[side] < far) for side in (0, 1)]
-        return np.concatenate([ids[f] for f in found]), np.concatenate([whom[s][f] for s, f in enumerate(found)])
+        own = np.unique(ids[met])
+        return np.concatenate([*(ids[f] for f in found), own]), np.concatenate([*(whom[s][f] for s, f in enumerate(found)), own])
 
     return tile
 
 
+def _apart(radius: int, check_radius: int):
+    """Rows of a tile -> all its pairs that ``_nearest`` may keep and whose texts have different ``group``."""
+
+    def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        role, ids, group = (_column(parts, c) for c in ("role", "id", "group"))
+        fps, one, two = (_column(parts, c).view(np.uint64) for c in ("fp", "check0", "check1"))
+        i, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        for a, b in vantage_hits(fps[i], fps[q], radius):
+            a, b = q[a], i[b]
+            other = group[a] != group[b]
+            a, b = a[other], b[other]
+            d = np.bitwise_count(one[a] ^ one[b]).astype(np.int32) + np.bitwise_count(two[a] ^ two[b])
+            a, b = a[d <= check_radius], b[d <= check_radius]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["src", "dst"])
+
+    return _by_group(["shard", "tile"], each)
+
+
 def _by_group(keys: Sequence[str], each):
     """Sorted rows -> what ``each`` gives for the rows of one value of ``keys`` after another."""
 
@@ -374,21 +396,36 @@ def near_texts(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int
     shingles differ in few words, so at least one of the fingerprints is within ``radius`` bits.  In each
     tile a text keeps the most similar text of smaller and of larger id, told by 128 SimHash bits of the shingles (texts of
     Jaccard similarity 0.8 differ in 19 of them on average; ``check_radius`` is four deviations more).
-    Every edge is then checked: the Jaccard similarity of the sets of shingles is at least ``similarity``.
+    Every edge is then checked: the Jaccard similarity of the sets of shingles is at least ``similarity``.  Where
+    texts met that those edges leave in different components, a second pass over the texts met checks all such pairs, so no
+    partner is lost: the components are those of all candidates that pass the check.
     Texts without words are alike; fewer words than a shingle has are one shingle.
     """
     fields = [f"fp{i}" for i in range(hashes)] + ["check0", "check1"]
     made = stored(texts.select("id", "text").mapInArrow(
         _map_texts(fields, lambda text: word_fingerprints(text, hashes, words_per_shingle)),
         "id long" + "".join(f", {f} long" for f in fields)).dropDuplicates(["id"]), "sketches")
-    found = None
-    for i in range(hashes):
-        rows = made.select("id", F.col(f"fp{i}").alias("fp"), "check0", "check1")
-        dealt = _dealt(rows, radius, shard_rows, tile_queries, **how)
-        one = dealt.mapInArrow(_tile_links(_nearest(radius, check_radius), ["check0", "check1"]), "src long, dst long")
-        one = stored(one.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")), "near")
-        found = one if found is None else found.union(one)
-    edges = stored(found.distinct(), "candidates")
+
+    def met(rows: DataFrame, tiles, *rest: str) -> DataFrame:
+        found = None
+        for i in range(hashes):
+            dealt = _dealt(rows.select("id", F.col(f"fp{i}").alias("fp"), "check0", "check1", *rest), radius, shard_rows, tile_queries, **how)
+            one = dealt.mapInArrow(tiles, "src long, dst long")
+            one = stored(one.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "near")
+            found = one if found is None else found.union(one)
+        return found.distinct()
+
+    seen = stored(met(made, _tile_links(_nearest(radius, check_radius), ["check0", "check1"])), "candidates")
+    near = stored(_similar(texts, seen.where("src <> dst"), similarity, words_per_shingle), "links")
+    ends = seen.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    group = components(near).select(F.col("node").alias("id"), "component")
+    rows = stored(made.join(ends, "id", "left_semi").join(group, "id", "left").withColumn("group", F.coalesce("component", "id")), "met")
+    rest = stored(met(rows, _apart(radius, check_radius), "group").join(seen, ["src", "dst"], "left_anti"), "rest")
+    return near.union(_similar(texts, rest, similarity, words_per_shingle))
+
+
+def _similar(texts: DataFrame, edges: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """``edges(src, dst)`` whose texts share ``similarity`` (Jaccard) of their sets of shingles."""
     ends = stored(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "ends")
     words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(SPACE_WORD), F.lit(0))
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - words_per_shingle, F.lit(0)))

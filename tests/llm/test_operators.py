@@ -801,3 +801,25 @@ def test_near_copies_go_and_clean_documents_stay(spark):
 def test_digest_of_items(spark):
     assert spark.range(1).select(F.sha2(F.lit("1,2"), 256)).first()[0] == hashlib.sha256(b"1,2").hexdigest()
     assert spark.range(1).select(F.crc32(F.lit("é").cast("binary"))).first()[0] == zlib.crc32("é".encode())
+
+
+def test_no_link_is_lost_to_a_more_similar_partner(spark):
+    import random
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = [f"v{rng.randrange(400)}" for _ in range(90)]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randint(1, 3)):
+                own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for a, b in ((a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    edges = simhash.near_texts(df, radius=64, check_radius=128, hashes=1)  # every pair is a candidate
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == label
