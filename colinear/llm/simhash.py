@@ -189,24 +189,85 @@ def _nearest(radius: int, check_radius: int):
 
 
 def _apart(radius: int, check_radius: int):
-    """Rows of a tile -> all its pairs that ``_nearest`` may keep and whose texts have different ``group``."""
+    """Rows of a tile -> stars over its pairs that ``_nearest`` may keep and whose texts have different ``group``."""
 
     def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         role, ids, group = (_column(parts, c) for c in ("role", "id", "group"))
         fps, one, two = (_column(parts, c).view(np.uint64) for c in ("fp", "check0", "check1"))
+        names, place = np.unique(ids, return_inverse=True)
         i, q = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+        labels = np.arange(len(names))
         for a, b in vantage_hits(fps[i], fps[q], radius):
             a, b = q[a], i[b]
             other = group[a] != group[b]
             a, b = a[other], b[other]
             d = np.bitwise_count(one[a] ^ one[b]).astype(np.int32) + np.bitwise_count(two[a] ^ two[b])
-            a, b = a[d <= check_radius], b[d <= check_radius]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["src", "dst"])
+            unite(labels, place[a[d <= check_radius]], place[b[d <= check_radius]])
+        linked = np.flatnonzero(labels != np.arange(len(names)))
+        if len(linked):
+            yield pa.RecordBatch.from_arrays([pa.array(names[labels[linked]]), pa.array(names[linked])], names=["src", "dst"])
 
     return _by_group(["shard", "tile"], each)
 
 
+def forest(labels: np.ndarray, side: np.ndarray, checks: Sequence[np.ndarray], values: np.ndarray, sizes: np.ndarray,
+           similarity: float, check_radius: int) -> Iterator[tuple[int, int]]:
+    """Places ``(a, b)`` of pairs as similar as ``similarity`` that join all sets such pairs join, one pair a union.
+
+    The set of place i is the next ``sizes[i]`` (one or more) of ``values``; ``labels`` are the sets joined before (changed
+    here).  A pair has one place of ``side`` 0 and one of 1; side 2 is both.  Every such pair is compared whose ``checks``
+    differ in at most ``check_radius`` bits, the nearest first, unless it is joined already or an exact bound rules it out: what
+    two sets share is at least ``similarity`` times the larger one, and no more than either shares with all others.
+    """
+    values = np.unique(values, return_inverse=True)[1]
+    at, left = np.repeat(np.arange(len(sizes)), sizes), np.ones(len(sizes), bool)
+    for _ in range(16):  # each round may rule out more; those not ruled out are compared
+        seen = np.bincount(values[left[at]], minlength=len(values) + 1)
+        out = left & (np.bincount(at, seen[values] > 1, len(sizes)) < similarity * sizes - 1e-9)
+        if not out.any():
+            break
+        left &= ~out
+    start = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(values) + 1, bool)
+    asked, searched = np.flatnonzero(left & (side != 1)), np.flatnonzero(left & (side != 0))
+    bands = [-1, *(check_radius * i // 4 for i in range(1, 5))]
+    for low, high in zip(bands, bands[1:]):
+        for a in asked:
+            b = searched[np.searchsorted(searched, a) :] if side[a] == 2 else searched
+            b = b[labels[b] != labels[a]]
+            d = sum(np.bitwise_count(c[b] ^ c[a]).astype(np.int32) for c in checks)
+            b = b[(d > low) & (d <= high)]
+            b = b[np.minimum(sizes[b], sizes[a]) >= similarity * np.maximum(sizes[b], sizes[a]) - 1e-9]
+            if not len(b):
+                continue
+            own = values[start[a] : start[a] + sizes[a]]
+            first = np.cumsum(sizes[b]) - sizes[b]
+            mark[own] = True
+            both = np.add.reduceat(mark[values[np.repeat(start[b] - first, sizes[b]) + np.arange(sizes[b].sum())]].astype(np.int64), first)
+            mark[own] = False
+            for x in b[both >= similarity * (sizes[a] + sizes[b] - both) - 1e-9]:
+                if labels[x] != labels[a]:
+                    labels[labels == labels[x]] = labels[a]
+                    yield a, x
+
+
+def _forests(similarity: float, check_radius: int):
+    """Rows of a tile of a unit -> the edges of its ``forest``."""
+
+    def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, group, side = (_column(parts, c) for c in ("id", "group", "side"))
+        lists = [p.column(p.schema.get_field_index("s")) for p in parts]
+        values = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists])
+        sizes = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]).astype(np.int64)
+        checks = [_column(parts, c).view(np.uint64) for c in ("check0", "check1")]
+        found = list(forest(np.unique(group, return_inverse=True)[1], side, checks, values, sizes, similarity, check_radius))
+        if found:
+            a, b = np.array(found).T
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["src", "dst"])
+
+    return _by_group(["unit", "tile"], each)
+
+
 def _by_group(keys: Sequence[str], each):
     """Sorted rows -> what ``each`` gives for the rows of one value of ``keys`` after another."""
 
@@ -397,8 +458,9 @@ def near_texts(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int
     tile a text keeps the most similar text of smaller and of larger id, told by 128 SimHash bits of the shingles (texts of
     Jaccard similarity 0.8 differ in 19 of them on average; ``check_radius`` is four deviations more).
     Every edge is then checked: the Jaccard similarity of the sets of shingles is at least ``similarity``.  Where
-    texts met that those edges leave in different components, a second pass over the texts met checks all such pairs, so no
-    partner is lost: the components are those of all candidates that pass the check.
+    texts met that those edges leave in different components, a second pass compares the texts so connected inside blocks
+    of bounded size (``_between``), so no partner is lost: the components are those of all candidates that pass the check.  Pairs
+    are never rows: each pass gives at most a few edges a text.
     Texts without words are alike; fewer words than a shingle has are one shingle.
     """
     fields = [f"fp{i}" for i in range(hashes)] + ["check0", "check1"]
@@ -420,19 +482,51 @@ def near_texts(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int
     ends = seen.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     group = components(near).select(F.col("node").alias("id"), "component")
     rows = stored(made.join(ends, "id", "left_semi").join(group, "id", "left").withColumn("group", F.coalesce("component", "id")), "met")
-    rest = stored(met(rows, _apart(radius, check_radius), "group").join(seen, ["src", "dst"], "left_anti"), "rest")
-    return near.union(_similar(texts, rest, similarity, words_per_shingle))
+    units = components(met(rows, _apart(radius, check_radius), "group"))
+    return near.union(stored(_between(texts, rows, units, similarity, words_per_shingle, check_radius), "rest"))
 
 
-def _similar(texts: DataFrame, edges: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
-    """``edges(src, dst)`` whose texts share ``similarity`` (Jaccard) of their sets of shingles."""
-    ends = stored(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "ends")
+def _between(texts: DataFrame, rows: DataFrame, units: DataFrame, similarity: float, words_per_shingle: int, check_radius: int,
+             block: int = 1 << 22, small_block: int = 1 << 18, small_blocks: int = 8) -> DataFrame:
+    """Edges that join the groups of ``rows(id, group, check0, check1)`` in each unit of ``units(node, component)`` as all its similar pairs do.
+
+    A unit is cut into blocks of about ``small_block`` shingles, from ``small_blocks`` of them on of up to ``block``;
+    each two blocks meet in a tile.
+    """
+    spark = rows.sparkSession
+    member = units.select(F.col("node").alias("id"), F.col("component").alias("unit"))
+    n = member.count()
+    sets = _sets(texts, member.select("id"), n, words_per_shingle)
+    full = stored(
+        rows.select("id", "group", "check0", "check1").join(small(member, n, 16), "id").join(sets, "id"), "units")
+    total = F.sum(F.size("s"))
+    cut = stored(full.groupBy("unit").agg(
+        F.greatest(F.ceil(total / block), F.least(F.lit(small_blocks), F.ceil(total / small_block))).cast("int").alias("k")), "blocks")
+    k, own = F.col("k"), F.pmod(F.xxhash64("id"), F.col("k")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct(
+        (F.least(j, own) * k + F.greatest(j, own)).alias("tile"), F.when(j == own, 2).when(own < j, 0).otherwise(1).alias("side")))
+    return (
+        full.join(small(cut, cut.count(), 12), "unit").withColumn("t", F.explode(tiles))
+        .select("unit", "t.tile", "t.side", "id", "group", "check0", "check1", "s")
+        .repartition(partitions(spark), "unit", "tile").sortWithinPartitions("unit", "tile")
+        .mapInArrow(_forests(similarity, check_radius), "src long, dst long")
+    )
+
+
+def _sets(texts: DataFrame, ids: DataFrame, n: int, words_per_shingle: int) -> DataFrame:
+    """``(id, s)``: the hashed shingles of each text of ``ids(id)`` (``n`` counted), once each."""
     words = F.regexp_extract_all(ascii_lower(F.coalesce("text", F.lit(""))), F.lit(SPACE_WORD), F.lit(0))
     at = F.sequence(F.lit(0), F.greatest(F.size("w") - words_per_shingle, F.lit(0)))
-    sets = stored(
-        texts.select("id", "text").join(small(ends, ends.count(), 8), "id", "left_semi")
+    return stored(
+        texts.select("id", "text").join(small(ids, n, 8), "id", "left_semi")
         .dropDuplicates(["id"]).select("id", words.alias("w"))  # a hot text sends one row a task
         .select("id", F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i + 1, words_per_shingle)))).alias("s")), "sets")
+
+
+def _similar(texts: DataFrame, edges: DataFrame, similarity: float, words_per_shingle: int) -> DataFrame:
+    """``edges(src, dst)`` whose texts share ``similarity`` (Jaccard) of their sets of shingles."""
+    ends = stored(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct(), "ends")
+    sets = _sets(texts, ends, ends.count(), words_per_shingle)
     both = F.size(F.array_intersect("a", "b"))
     return (
         edges.join(sets.select(F.col("id").alias("src"), F.col("s").alias("a")), "src")

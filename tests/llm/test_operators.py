@@ -823,3 +823,57 @@ def test_no_link_is_lost_to_a_more_similar_partner(spark):
     edges = simhash.near_texts(df, radius=64, check_radius=128, hashes=1)  # every pair is a candidate
     got = {r.node: r.component for r in simhash.components(edges).collect()}
     assert [got.get(i, i) for i in range(len(texts))] == label
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block": 1500, "small_block": 400, "small_blocks": 3}])
+def test_candidates_of_a_dense_group_are_never_rows(spark, monkeypatch, blocks):
+    """All 11 175 pairs are candidates and few of them links: every link counts, and no table holds the pairs."""
+    import functools
+    import random
+
+    rng = random.Random(5)
+    base, texts = [f"v{i}" for i in range(60)], []
+    for _ in range(150):
+        own = list(base)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(60)] = f"x{rng.randrange(12)}"
+        texts.append(" ".join(own))
+    stored, rows = simhash.stored, {}
+
+    def counted(df, tag):
+        made = stored(df, tag)
+        rows[tag] = max(rows.get(tag, 0), made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    if blocks:
+        monkeypatch.setattr(simhash, "_between", functools.partial(simhash._between, **blocks))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    edges = stored(simhash.near_texts(df, similarity=0.7, radius=64, check_radius=128, hashes=1), "found")
+    got = {r.node: r.component for r in simhash.components(edges).collect()}
+    want = brute_near(list(enumerate(texts)), 0.7)
+    sets = [shingle_sets(t) for t in texts]
+    assert all(len(sets[r.src] & sets[r.dst]) >= 0.7 * len(sets[r.src] | sets[r.dst]) for r in edges.collect())
+    assert {got.get(i, i) for i in range(len(texts))} == {k for _, k in want.values()} and len(want) > 1
+    assert max(rows.values()) <= 10 * len(texts), rows
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    for trial in range(30):
+        base = rng.integers(0, 60, 25)
+        sets = [np.unique(np.where(rng.random(25) < rng.choice([0.05, 0.15, 0.5]), rng.integers(0, 200, 25), base)) for _ in range(40)]
+        side = np.full(40, 2) if trial % 2 else rng.integers(0, 2, 40)
+        group = np.where(rng.random(40) < 0.2, 3, np.arange(40))
+        want, brute = group.copy(), group.copy()
+        checks = [np.zeros(40, np.uint64)]
+        alike = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.6 * len(np.union1d(sets[a], sets[b]))
+        for a in range(40):
+            for b in range(a):
+                if (side[a] == 2 or side[a] != side[b]) and alike(a, b):
+                    brute[brute == brute[a]] = brute[b]
+        found = list(simhash.forest(group.copy(), side, checks, np.concatenate(sets), np.array([len(s) for s in sets]), 0.6, 34))
+        for a, b in found:
+            assert alike(a, b) and want[a] != want[b]
+            want[want == want[a]] = want[b]
+        assert len({*zip(want.tolist(), brute.tolist())}) == len({*want.tolist()}) == len({*brute.tolist()})
