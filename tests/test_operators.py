@@ -210,3 +210,20 @@ def test_a_clipped_score_of_just_the_least_gives_an_edge(spark):
     genes = spark.createDataFrame([(5, 0, 200, 300)], "gene_id long, seqid long, start long, end long")
     got = jn.augmented_edges(alignments, genes, 100, 64, 50.0, 0.02).collect()
     assert [tuple(r) for r in got] == [(5, 1, 50.0)]  # 0.02 * 35 as doubles is more than 0.7
+
+
+def test_near_elements_counts_repeated_rows_and_copies(spark):
+    from colinear.operators import joins as jn
+
+    al = [(1, 0, 100, 120, 1, 500, 520), (1, 0, 100, 120, 1, 500, 520), (None, 0, 100, 120, 1, 500, 520), (2, 0, 100, 120, 1, 900, 920),
+          (3, 1, 510, 515, 0, 90, 95), (4, None, 100, 120, 1, 500, 520)]
+    el = [(10, 0, 95, 110), (11, 0, 95, 110), (12, 0, 300, 310), (20, 1, 505, 530), (20, 1, 505, 530), (None, 1, 480, 600)]
+    inside = lambda q, s, e: [x for x, c, lo, hi in el if c == q and s > lo - 15 and e < hi + 15]
+    want = [(a, x, y) for a, q1, s1, e1, q2, s2, e2 in al for x in inside(q1, s1, e1) for y in inside(q2, s2, e2)]
+    a = spark.createDataFrame(al, "aln_id long, seqid1 long, start1 long, end1 long, seqid2 long, start2 long, end2 long")
+    e = spark.createDataFrame(el, "element long, seqid long, start long, end long")
+    got = jn.near_elements(a, e, 15, 64)
+    assert got.columns == ["aln_id", "element1", "element2"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
+    many = jn.near_elements(a.crossJoin(spark.range(40)).drop("id"), e.crossJoin(spark.range(40)).drop("id"), 15, 64)
+    assert many.count() == 40**3 * len(want)
