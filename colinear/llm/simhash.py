@@ -459,8 +459,8 @@ def near_texts(texts: DataFrame, similarity: float = 0.8, words_per_shingle: int
     Jaccard similarity 0.8 differ in 19 of them on average; ``check_radius`` is four deviations more).
     Every edge is then checked: the Jaccard similarity of the sets of shingles is at least ``similarity``.  Where
     texts met that those edges leave in different components, a second pass compares the texts so connected inside blocks
-    of bounded size (``_between``), so no partner is lost: the components are those of all candidates that pass the check.  Pairs
-    are never rows: each pass gives at most a few edges a text.
+    of bounded size (``_between``), so no partner is lost: the components are those of all candidates that pass the check, and of other texts of
+    such a block that pass it.  Pairs of the second pass are never rows: each pass gives at most a few edges a text.
     Texts without words are alike; fewer words than a shingle has are one shingle.
     """
     fields = [f"fp{i}" for i in range(hashes)] + ["check0", "check1"]
