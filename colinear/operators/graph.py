@@ -14,24 +14,35 @@ from .intervals import interval_join, merge_islands
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)``: the component is its smallest node.
 
-    Rounds of minimum labels over neighbours followed by a label's own label, so long chains
-    shrink geometrically.  Nodes may be of any orderable type.
+    In each round a node goes to the root it reaches by steps to its smallest neighbour, in jumps that double, and the
+    edges go along: those inside a component vanish and equal ones are one, so later rounds join only the edges that are
+    still open, never all of them again.  Nodes may be of any orderable type; null ends are left out, a loop gives its node.
     """
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    both = stored(e.union(e.select("v", "u")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select(
-        "node", F.least("node", "m").alias("component")), "labels")
+    ends = F.col(src), F.col(dst)
+    rest = stored(edges.where(ends[0].isNotNull() & ends[1].isNotNull()).select(
+        F.least(*ends).alias("u"), F.greatest(*ends).alias("v")).distinct(), "edges")
+    labels = None
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("v"), "component"), "v").groupBy(
-            F.col("u").alias("node")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        step = stored(low.join(jump, "low", "left").select(
-            "node", "component", F.least("low", F.coalesce("jump", "low")).alias("new")), "labels")
-        labels = step.select("node", F.col("new").alias("component"))
-        if step.where("new <> component").isEmpty():
+        up = _roots(rest.select(F.col("u").alias("node"), F.col("u").alias("component")).union(rest.select("v", "u")))
+        to = lambda node, component: up.select(F.col("node").alias(node), F.col("component").alias(component))
+        labels = up if labels is None else stored(labels.join(to("component", "root"), "component", "left").select(
+            "node", F.coalesce("root", "component").alias("component")), "labels")
+        rest = stored(rest.join(to("u", "a"), "u").join(to("v", "b"), "v").where("a <> b").select(
+            F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        if rest.isEmpty():
             return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    raise RuntimeError(f"components still meet after {max_rounds} rounds")
+
+
+def _roots(steps: DataFrame) -> DataFrame:
+    """``steps(node, component)`` -> where the steps to the least component of each node end; every component is a node."""
+    up = stored(steps.groupBy("node").agg(F.min("component").alias("component")), "steps")
+    while True:
+        above = up.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        jump = stored(up.join(above, "component").select("node", "component", "above"), "steps")
+        up = jump.select("node", F.col("above").alias("component"))
+        if jump.where("above <> component").isEmpty():
+            return up
 
 
 def with_species(members: DataFrame, least: int = 2, group: str = "component", species: str = "species") -> DataFrame:

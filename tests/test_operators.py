@@ -131,6 +131,44 @@ def test_components_of_a_long_chain(spark):
     assert graph.components(e.limit(0)).count() == 0
 
 
+def join_rows(spark, run):
+    """Rows that the joins of all queries made while ``run`` ran, by Spark's own metrics."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def settled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return store.executionsCount()
+
+    known, total = settled(), 0
+    run()
+    for i in range(known, settled()):
+        execution = store.executionsList(i, 1).apply(0).executionId()
+        values, nodes = store.executionMetrics(execution), store.planGraph(execution).allNodes()
+        for n in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = [n.metrics().apply(j) for j in range(n.metrics().size())] if "Join" in n.name() else []
+            for m in metrics:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_components_join_an_edge_once_not_in_each_round(spark):
+    import random
+
+    rng = random.Random(7)
+    pairs = {tuple(sorted((x, min(x + rng.randint(1, 25), 599)))) for x in range(600) for _ in range(16)}  # wide chains take rounds
+    pairs |= {(rng.randint(1000, 1099), 1100 + i) for i in range(60)} | {(2000, 2000)}
+    e = spark.createDataFrame([rng.choice([p, p[::-1]]) for p in sorted(pairs)] + [(None, 5), (5, None)], "src long, dst long")
+    label = {x: x for p in pairs for x in p}
+    for a, b in pairs:
+        low, high = sorted((label[a], label[b]))
+        label = {x: low if y == high else y for x, y in label.items()}
+    found = []
+    rows = join_rows(spark, lambda: found.extend(graph.components(e).collect()))
+    assert sorted((r.node, r.component) for r in found) == sorted(label.items())
+    assert 0 < rows <= 4 * len(pairs), (rows, len(pairs))
+
+
 def test_tombstones_and_snapshots(spark):
     m = spark.createDataFrame([("a", 1, "b", 2), ("b", 2, "a", 1), ("a", 3, "b", 2), ("b", 2, "a", 3)], "org1 string, id1 int, org2 string, id2 int")
     gone = spark.createDataFrame([("a", 1)], "org string, id int")
