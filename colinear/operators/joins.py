@@ -116,17 +116,32 @@ def quality_filtered(hits: DataFrame, least_identity: float, most_frameshifts: i
                            .when(F.col("bitscore") < least_bitscore, "bitscore").when(F.coalesce("protein", F.lit("")) == "", "no protein"))
 
 
+def _by_repeats(df: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id no other row has, and the rest; null is an id."""
+    again = df.groupBy(row_id).count().where("count > 1").select(F.col(row_id).alias("__again"))
+    same = F.col(row_id).eqNullSafe(F.col("__again"))
+    return df.join(again, same, "left_anti"), df.join(again, same, "left_semi")
+
+
 def augmented_edges(alignments: DataFrame, genes: DataFrame, tolerance: int, width: int, least: float = 50.0, penalty: float = 2.0) -> DataFrame:
     """Edges between genes and the alignments clipped to them (with ``tolerance``), best score each.
 
     Each position cut off costs ``penalty``; what falls under ``least`` gives no edge.  The cost is the nearest double to
-    the decimal product, so that a score of just ``least`` doesn't hang on how the penalty is held.
+    the decimal product, so that a score of just ``least`` doesn't hang on how the penalty is held.  Equal spans of an id
+    are one row, and a pair whose ids have no other rows is an edge as it is met: only pairs of ids with several spans are grouped.
     """
     rate = Fraction(str(penalty))
-    g = genes.select("gene_id", "seqid", (F.col("start") - tolerance).alias("lo"), (F.col("end") + tolerance).alias("hi"))
-    met = interval_join(alignments, g, ["seqid"], ("start", "end"), ("lo", "hi"), width)
+    a1, an = _by_repeats(alignments.groupBy("aln_id", "seqid", "start", "end").agg(F.max("score").alias("score")), "aln_id")
+    g1, gn = _by_repeats(genes.select("gene_id", "seqid", (F.col("start") - tolerance).alias("lo"), (F.col("end") + tolerance).alias("hi")).distinct(), "gene_id")
     cut = (F.greatest("start", "lo") - F.col("start")) + (F.col("end") - F.least("end", "hi"))
-    return met.withColumn("clipped", F.col("score") - cut * rate.numerator / F.lit(float(rate.denominator))).where(F.col("clipped") >= least).groupBy("gene_id", "aln_id").agg(F.max("clipped").alias("score"))
+    clipped = F.col("score") - cut * rate.numerator / F.lit(float(rate.denominator))
+
+    def edges(a: DataFrame, g: DataFrame) -> DataFrame:
+        met = interval_join(a, g, ["seqid"], ("start", "end"), ("lo", "hi"), width)
+        return met.select("gene_id", "aln_id", clipped.alias("score")).where(F.col("score") >= least)
+
+    several = edges(an, g1).union(edges(an, gn)).union(edges(a1, gn))
+    return edges(a1, g1).union(several.groupBy("gene_id", "aln_id").agg(F.max("score").alias("score")))
 
 
 def chain_labels(genes: DataFrame, components: DataFrame) -> DataFrame:

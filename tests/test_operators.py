@@ -265,3 +265,56 @@ def test_near_elements_counts_repeated_rows_and_copies(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) > 20
     many = jn.near_elements(a.crossJoin(spark.range(40)).drop("id"), e.crossJoin(spark.range(40)).drop("id"), 15, 64)
     assert many.count() == 40**3 * len(want)
+
+
+def shuffled_rows(df):
+    """Rows that all shuffles of ``df`` wrote, after it ran: from the metrics of its own final plan."""
+    found, open_, seen = 0, [df._jdf.queryExecution().executedPlan()], set()
+    while open_:
+        node = open_.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        elif name != "ReusedExchangeExec":
+            if name == "ShuffleExchangeExec" and node.id() not in seen:
+                seen.add(node.id())
+                found += node.metrics().get("shuffleRecordsWritten").get().value()
+            children = node.children()
+            open_.extend(children.apply(i) for i in range(children.size()))
+    return found
+
+
+def test_augmented_edges_shuffle_no_pairs_of_single_ids(spark):
+    from colinear.operators import joins as jn
+
+    alignments = spark.range(400).selectExpr("id as aln_id", "0L as seqid", "id as start", "id + 500 as end", "90.0D as score").repartition(3)
+    genes = spark.range(150).selectExpr("id as gene_id", "0L as seqid", "id + 100 as start", "id + 400 as end").repartition(3)
+    edges = jn.augmented_edges(alignments, genes, 50, 1024, 50.0, 0.02)
+    assert len(edges.collect()) == 400 * 150
+    assert 0 < shuffled_rows(edges) <= 10 * (400 + 150)
+
+
+def test_augmented_edges_of_ids_with_several_spans(spark):
+    import random
+
+    from colinear.operators import joins as jn
+
+    rng = random.Random(3)
+    span = lambda: (rng.choice([0, 0, 0, 1, None]), rng.randint(0, 200))
+    al = [(i, q, s, s + rng.randint(0, 150), rng.choice([None, float(rng.randint(40, 70))])) for i in [None, 1, 1, 1, *range(2, 40)] for q, s in [span()]]
+    el = [(i, q, s, s + rng.randint(0, 150)) for i in [None, None, 5, 5, *range(6, 30)] for q, s in [span()]]
+    al, el = al + al[:6] + [(*x[:4], 65.0) for x in al[3:9]], el + el[:5]
+    want = {}
+    for a, q, s, e, score in al:
+        for g, c, x, y in el:
+            if q is not None and q == c and score is not None and s <= y + 20 and x - 20 <= e:
+                v = score - 0.5 * ((max(s, x - 20) - s) + (e - min(e, y + 20)))
+                if v >= 45.0:
+                    want[g, a] = max(v, want.get((g, a), v))
+    a = spark.createDataFrame(al, "aln_id long, seqid long, start long, end long, score double")
+    g = spark.createDataFrame(el, "gene_id long, seqid long, start long, end long")
+    got = jn.augmented_edges(a, g, 20, 64, 45.0, 0.5)
+    assert got.columns == ["gene_id", "aln_id", "score"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(*k, v) for k, v in want.items()], key=repr) and len(want) > 50
