@@ -267,8 +267,8 @@ def test_near_elements_counts_repeated_rows_and_copies(spark):
     assert many.count() == 40**3 * len(want)
 
 
-def shuffled_rows(df):
-    """Rows that all shuffles of ``df`` wrote, after it ran: from the metrics of its own final plan."""
+def shuffled(df, metric="shuffleRecordsWritten"):
+    """Rows (``dataSize``: bytes) that all shuffles of ``df`` wrote, after it ran: from the metrics of its own final plan."""
     found, open_, seen = 0, [df._jdf.queryExecution().executedPlan()], set()
     while open_:
         node = open_.pop()
@@ -280,7 +280,7 @@ def shuffled_rows(df):
         elif name != "ReusedExchangeExec":
             if name == "ShuffleExchangeExec" and node.id() not in seen:
                 seen.add(node.id())
-                found += node.metrics().get("shuffleRecordsWritten").get().value()
+                found += node.metrics().get(metric).get().value()
             children = node.children()
             open_.extend(children.apply(i) for i in range(children.size()))
     return found
@@ -293,7 +293,7 @@ def test_augmented_edges_shuffle_no_pairs_of_single_ids(spark):
     genes = spark.range(150).selectExpr("id as gene_id", "0L as seqid", "id + 100 as start", "id + 400 as end").repartition(3)
     edges = jn.augmented_edges(alignments, genes, 50, 1024, 50.0, 0.02)
     assert len(edges.collect()) == 400 * 150
-    assert 0 < shuffled_rows(edges) <= 10 * (400 + 150)
+    assert 0 < shuffled(edges) <= 10 * (400 + 150)
 
 
 def test_augmented_edges_of_ids_with_several_spans(spark):
@@ -318,3 +318,17 @@ def test_augmented_edges_of_ids_with_several_spans(spark):
     got = jn.augmented_edges(a, g, 20, 64, 45.0, 0.5)
     assert got.columns == ["gene_id", "aln_id", "score"]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(*k, v) for k, v in want.items()], key=repr) and len(want) > 50
+
+
+def test_near_elements_shuffle_no_lists_of_a_side(spark):
+    from colinear.operators import joins as jn
+
+    al = spark.range(500).selectExpr("id as aln_id", "0L as seqid1", "id + 1000 as start1", "id + 1100 as end1", "1L as seqid2", "id + 2000 as start2", "id + 2100 as end2").repartition(3)
+    el = spark.range(200).selectExpr("id as element", "0L as seqid", "id as start", "id + 3000 as end")
+    near = jn.near_elements(al, el.union(el.selectExpr("element + 200", "1L", "start + 1000", "end")).repartition(3), 50, 4096)
+    assert near.count() == 500 * 200 * 200
+    rows = near.where("aln_id % 50 = 7").collect()
+    assert sorted((r.aln_id, r.element1, r.element2) for r in rows) == [(a, x, y) for a in range(7, 500, 50) for x in range(200) for y in range(200, 400)]
+    whole = near.groupBy().count()
+    whole.collect()
+    assert 0 < shuffled(whole, "dataSize") < 1_000_000  # lists of 200 ids for each of 500 alignments: some megabytes
